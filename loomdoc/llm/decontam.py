@@ -3,19 +3,21 @@ r"""Benchmark decontamination by spaced seeds.
 Words are the runs of letters and digits of the lower-cased text. A mask names the
 positions of a window that count; the others may hold any word. The hashes of the counted
 words at each place of a document are joined with those of the benchmark items; a hit
-aligns the two texts, and around it the words are compared place by place. An overlap is a
-run of ``window`` places (the whole item if it is shorter), within a window's reach of the
-hit, of which at least ``least`` hold equal words: substitutions are tolerated, within the
-masks and around them.
+aligns the two texts. Hits of one alignment in one stretch of ``window`` places of the item
+are taken together; around that stretch, with ``window`` places more on either side, the
+words are compared place by place. An overlap is a run of ``window`` places (the whole item
+if it is shorter) of which at least ``least`` hold equal words: substitutions are
+tolerated, within the masks and around them.
 
-The benchmark is broadcast in parts of at most ``MOST_SEEDS`` seeds, counted beforehand;
-a larger one takes more passes over the documents. No document leaves its partition but as
-(id, item, figures).
+The benchmark's seeds are broadcast in parts of about ``MOST_SEEDS``, counted beforehand; a
+larger benchmark takes more passes over the documents. The alignments found are broadcast
+up to a counted ``MOST_HITS``, beyond that they are joined by a shuffle.
 
 Defined cases: null and empty texts overlap nothing; items of under ``SHORTEST`` words are
-no evidence and are not searched; items shorter than a mask use the part of the mask that
-fits; repeated rows and items each count, by id; a null id is an id of its own; empty tables
-give no rows; other columns are not read.
+no evidence and are not searched; items shorter than a mask are searched by all their
+words; rows and items with equal ids are one document and one item, which overlap if any of
+their texts do; a null id is an id of its own; empty tables give no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from loomdoc.llm.common import settle, table
 #: Positions that count.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 7), (0, 1, 3, 4, 6, 7))
 WINDOW, LEAST, SHORTEST = 13, 0.8, 5
-#: Seeds of about 1 KB each in one broadcast table.
-MOST_SEEDS = 50_000
+#: Seeds (24 bytes each), and alignments (40 bytes each), in one broadcast table.
+MOST_SEEDS, MOST_HITS = 400_000, 400_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,31 +65,30 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ..
     of_item = ", ".join(
         f"if({f'size(w) = {n} and i = 0' if n else f'size(w) >= {full} and i + {m[-1]} < size(w)'}, {_hash('w', 'i', m, kind)}, null)" for kind, m, n in variants
     )
-    # The part of the item that a run around the hit may reach, and where the hit is in it.
-    seeds = settle(
-        known.selectExpr("item_id", "w", "posexplode(w) as (i, _w)")
-        .selectExpr("item_id", "i", f"slice(w, greatest(0, i - {window}) + 1, least(i, {window}) + {full + window}) as part", f"cast(least(i, {window}) as int) as lead", f"least(size(w), {window}) as run", f"explode(array({of_item})) as seed")
-        .where("seed is not null"),
-        "seeds",
-    )
+    seeds = settle(known.selectExpr("item_id", "w", "posexplode(w) as (i, _w)").selectExpr("item_id", "i", f"explode(array({of_item})) as seed").where("seed is not null"), "seeds")
     n = seeds.count()
     parts = max(1, ceil(n / MOST_SEEDS))
-    places = docs.select("doc_id", words_of(F.col("text")).alias("w")).where("size(w) > 1 or w[0] != ''")
-    # The hashes are made within one expression per document: written out per place, the loop is too large for the JVM to compile.
+
+    # Only places and hashes leave a document's row here, never its words: a row of them for each place would be quadratic.
     of_place = ", ".join(_hash("w", "p", m, kind) for kind, m, _ in variants)
-    places = places.selectExpr("doc_id", "w", f"posexplode(transform(sequence(0, size(w) - 1), p -> array({of_place}))) as (p, seeds)")
-    places = places.selectExpr("doc_id", "w", "p", "explode(seeds) as seed")
-    passes = []
-    for k in range(parts):
-        mine = seeds.where(f"pmod(hash(item_id, i, seed), {parts}) = {k}") if parts > 1 else seeds
-        hits = places.join(F.broadcast(mine), "seed").selectExpr(  # at most about MOST_SEEDS rows
-            "doc_id", "item_id", "run", "part", "slice(w, greatest(0, p - lead) + 1, size(part) - greatest(0, lead - p)) as here", "greatest(0, lead - p) as gap"
-        )
-        same = "transform(sequence(1, size(part)), j -> if(get(here, j - 1 - gap) = part[j - 1], 1, 0))"
-        runs = f"transform(sequence(0, size(part) - run), s -> aggregate(slice(same, s + 1, run), 0, (a, x) -> a + x))"
-        passes.append(hits.selectExpr("doc_id", "item_id", "run", "part", f"{same} as same").selectExpr("doc_id", "item_id", "run", f"array_max({runs}) as matched").where(f"matched >= {least} * run"))
-    found = reduce(DataFrame.unionByName, passes)
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("run").cast("long").alias("compared"))
+    places = docs.select("doc_id", words_of(F.col("text")).alias("w")).selectExpr("doc_id", f"posexplode(transform(sequence(0, size(w) - 1), p -> array({of_place}))) as (p, seeds)")
+    places = places.selectExpr("doc_id", "p", "explode(seeds) as seed")
+    hits = reduce(DataFrame.unionByName, (places.join(F.broadcast(seeds.where(f"pmod(hash(seed), {parts}) = {k}") if parts > 1 else seeds), "seed") for k in range(parts)))
+    found = settle(hits.selectExpr("doc_id", "item_id", "p - i as shift", f"i div {window} as stretch").distinct(), "hits")
+
+    few = found.count() <= MOST_HITS
+    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    held = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), words_of(F.col("text")).alias("w"))
+    aligned = held.join(F.broadcast(found) if few else found, F.col("_id").eqNullSafe(F.col("doc_id"))).join(known.select(F.col("item_id").alias("_item"), F.col("w").alias("t")), F.col("item_id").eqNullSafe(F.col("_item")))
+    aligned = aligned.selectExpr(
+        "doc_id", "item_id", "w", "t", "shift", f"least(size(t), {window}) as run", f"cast(greatest(0, (stretch - 1) * {window}) as int) as lo", f"cast(least(size(t), (stretch + 2) * {window} + {full}) as int) as hi"
+    ).where("hi - lo >= run")
+    parted = aligned.selectExpr("doc_id", "item_id", "run", "shift", "lo", "slice(t, lo + 1, hi - lo) as part", "slice(w, greatest(0, lo + shift) + 1, hi - lo) as here")
+    # explode(array(..)) keeps the comparison out of the loop that sums its runs.
+    same = "transform(part, (x, j) -> if(get(here, cast(j + least(0, lo + shift) as int)) = x, 1, 0))"
+    runs = "transform(sequence(0, size(same) - run), s -> aggregate(slice(same, s + 1, run), 0, (a, x) -> a + x))"
+    summed = parted.selectExpr("doc_id", "item_id", "run", f"explode(array({same})) as same").selectExpr("doc_id", "item_id", "run", f"explode(array(array_max({runs}))) as matched")
+    return summed.where(f"matched >= {least}D * run").groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("run").cast("long").alias("compared"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
@@ -115,12 +116,12 @@ shorts as (select distinct len(w)::int as n from items where len(w) < {full}),
 places as (
     select r, i as p, unnest({keys}) as k from (select r, w, unnest(range(len(w)))::int as i from docs)
     union all select r, i, 'short:' || n || array_to_string(w[i + 1 : i + n], ' ') from (select r, w, unnest(range(len(w)))::int as i from docs), shorts where i + n <= len(w)),
-hits as (select distinct r, item_id, p, i from places join seeds using (k)),
+hits as (select distinct r, item_id, p - i as shift, i // {WINDOW} as stretch from places join seeds using (k)),
 part as (
-    select r, doc_id, item_id, least(len(t.w), {WINDOW})::int as run, d.w as dw, t.w as tw, p, i,
-           greatest(0, i - {WINDOW})::int as lo, least(len(t.w), i + {full + WINDOW})::int as hi
+    select r, doc_id, item_id, least(len(t.w), {WINDOW})::int as run, d.w as dw, t.w as tw, shift,
+           greatest(0, (stretch - 1) * {WINDOW})::int as lo, least(len(t.w), (stretch + 2) * {WINDOW} + {full})::int as hi
     from hits join docs d using (r) join items t using (item_id)),
-same as (select doc_id, item_id, run, list_transform(range(lo, hi), lambda j: case when p + j - i >= 0 and dw[p + j - i + 1] = tw[j + 1] then 1 else 0 end) as f from part),
+same as (select doc_id, item_id, run, list_transform(range(lo, hi), lambda j: case when j + shift >= 0 and dw[j + shift + 1] = tw[j + 1] then 1 else 0 end) as f from part),
 best as (select doc_id, item_id, run, list_max(list_transform(range(0, len(f) - run + 1), lambda s: list_sum(f[s + 1 : s + run]))) as matched from same)
 select doc_id, item_id, max(matched)::bigint as matched, max(run)::bigint as compared from best where matched >= {LEAST} * run group by all
 """
