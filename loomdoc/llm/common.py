@@ -88,4 +88,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
     if n > most:
         by = by.where(share(F.col("_id")) < most / n)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(by, "_id").select("text", "label")
+    return texts.join(F.broadcast(by), "_id").select("text", "label")  # about ``most`` ids and labels at most
