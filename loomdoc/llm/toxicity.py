@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import bound_batches, fold, labelled, table
+from loomdoc.llm.common import bound_batches, fold, labelled, settle, table
 
 #: At most about so many labelled rows, features and swapped sentences are learned from.
 MOST_ROWS, MOST_FEATURES, MOST_SWAPS = 12_000, 8_192, 4_096
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
                 neg=lambda d, s=seen, n=n: [n[0] if h < 0 else s[0][h] for h in d.h], pos=lambda d, s=seen, n=n: [n[1] if h < 0 else s[1][h] for h in d.h]
             )
 
-    counts = rows.mapInPandas(counted, "h long, neg long, pos long").groupBy("h").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = settle(rows.mapInPandas(counted, "h long, neg long, pos long").groupBy("h").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "counts")
     total = F.broadcast(counts.where("h < 0").select(F.col("neg").alias("n0"), F.col("pos").alias("n1")))  # one row
     a, b = (F.col("pos") + 0.5) / (F.col("n1") + 1), (F.col("neg") + 0.5) / (F.col("n0") + 1)
     best = (
