@@ -23,7 +23,14 @@ ORDER = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": op
 #: The codes that stand for type names.
 TYPE_CODES = {1: "double", 2: "string", 3: "object", 4: "array", 8: "bool", 10: "null", 16: "int"}
 
-NEVER, ALWAYS = F.lit(False), F.lit(True)
+
+def never() -> Column:
+    return F.lit(False)
+
+
+def always() -> Column:
+    return F.lit(True)
+
 
 
 def sure(c: Column) -> Column:
@@ -41,11 +48,11 @@ def dump(v: Any) -> str:
 
 
 def any_of(parts: list[Column]) -> Column:
-    return reduce(operator.or_, parts) if parts else NEVER
+    return reduce(operator.or_, parts) if parts else never()
 
 
 def all_of(parts: list[Column]) -> Column:
-    return reduce(operator.and_, parts) if parts else ALWAYS
+    return reduce(operator.and_, parts) if parts else always()
 
 
 class Value(ABC):
@@ -116,18 +123,18 @@ class Typed(Value):
     def equals(self, v: Any) -> Column:
         c, kind = self.column, self.kind
         if isinstance(v, bool):
-            same = c == F.lit(v) if isinstance(kind, T.BooleanType) else NEVER
+            same = c == F.lit(v) if isinstance(kind, T.BooleanType) else never()
         elif is_number(v):
-            same = c == F.lit(v) if isinstance(kind, T.NumericType) else NEVER
+            same = c == F.lit(v) if isinstance(kind, T.NumericType) else never()
         elif isinstance(v, str):
-            same = c == F.lit(v) if isinstance(kind, T.StringType) else c == F.lit(v).try_cast(kind) if self._temporal() else NEVER
+            same = c == F.lit(v) if isinstance(kind, T.StringType) else c == F.lit(v).try_cast(kind) if self._temporal() else never()
         elif isinstance(v, list) and isinstance(kind, T.ArrayType):
             same = all_of([F.size(c) == len(v), *(Typed(F.try_element_at(c, F.lit(i + 1)), kind.elementType).equals(x) for i, x in enumerate(v))])
         elif isinstance(v, dict) and isinstance(kind, T.StructType):
             names = kind.fieldNames()
-            same = all_of([self.field(k).equals(x) if k in names else NEVER for k, x in v.items()] + [c.getField(k).isNull() for k in names if k not in v] + [c.isNotNull()])
+            same = all_of([self.field(k).equals(x) if k in names else never() for k, x in v.items()] + [c.getField(k).isNull() for k in names if k not in v] + [c.isNotNull()])
         else:
-            same = NEVER  # null too: in a typed column it stands for a missing field
+            same = never()  # null too: in a typed column it stands for a missing field
         return sure(same)
 
     def _text(self) -> Column:
@@ -148,14 +155,14 @@ class Typed(Value):
             "bool": T.BooleanType, "int": T.IntegralType, "double": (T.FractionalType, T.DecimalType), "string": (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType),
             "array": T.ArrayType, "object": (T.StructType, T.MapType),
         }
-        return self.present() if name in kinds and isinstance(self.kind, kinds[name]) else NEVER
+        return self.present() if name in kinds and isinstance(self.kind, kinds[name]) else never()
 
     def size(self) -> Column | None:
         return F.when(self.column.isNotNull(), F.size(self.column)) if isinstance(self.kind, T.ArrayType) else None
 
     def some(self, test: Callable[[Value], Column]) -> Column:
         if not isinstance(self.kind, T.ArrayType):
-            return NEVER
+            return never()
         return sure(F.exists(self.column, lambda e: test(Typed(e, self.kind.elementType))))
 
     def numbers(self) -> Column | None:
@@ -215,7 +222,7 @@ class Variant(Value):
             keys = F.map_keys(self._as("map<string,variant>", self._is("OBJECT")))
             same = all_of([F.size(keys) == len(v), *(self.field(k).equals(x) for k, x in v.items())])
         else:
-            same = NEVER
+            same = never()
         return sure(same)
 
     def ordered(self, op: str, v: Any) -> Column:
@@ -230,7 +237,7 @@ class Variant(Value):
 
     def has_type(self, name: str) -> Column:
         tags = {"null": ("VOID",), "bool": ("BOOLEAN",), "int": ("BIGINT", "INT", "SMALLINT", "TINYINT"), "double": ("DOUBLE", "DECIMAL", "FLOAT"), "string": ("STRING",), "array": ("ARRAY",), "object": ("OBJECT",)}
-        return self._is(*tags[name]) if name in tags else NEVER
+        return self._is(*tags[name]) if name in tags else never()
 
     def _array(self) -> Column:
         return self._as("array<variant>", self._is("ARRAY"))
@@ -250,28 +257,28 @@ class Nothing(Value):
     """What is no object: it has no fields."""
 
     def present(self) -> Column:
-        return NEVER
+        return never()
 
     def field(self, name: str) -> Value | None:
         return None
 
     def equals(self, v: Any) -> Column:
-        return NEVER
+        return never()
 
     def ordered(self, op: str, v: Any) -> Column:
-        return NEVER
+        return never()
 
     def string(self) -> Column | None:
         return None
 
     def has_type(self, name: str) -> Column:
-        return NEVER
+        return never()
 
     def size(self) -> Column | None:
         return None
 
     def some(self, test: Callable[[Value], Column]) -> Column:
-        return NEVER
+        return never()
 
     def numbers(self) -> Column | None:
         return None
