@@ -13,6 +13,7 @@ from math import ceil, sqrt
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def build(df: DataFrame, path: str, name: str = "default", column: str = "vector
 
 def assign(df: DataFrame, index: Index) -> DataFrame:
     """The rows with the cell of their vector."""
-    import pandas as pd
-
     centres, metric = np.array(index.centres), index.metric
 
     @F.pandas_udf("int")
