@@ -21,7 +21,7 @@ def lowered(s: str) -> str:
 
 def tokens(c: Column) -> Column:
     """The tokens of a text, without empty ones."""
-    return F.filter(F.split(ascii_lower(c), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(ascii_lower(c), SEPARATORS), "")
 
 
 def query_tokens(text: str, most_bytes: int = 4096, most: int = 64) -> list[str]:

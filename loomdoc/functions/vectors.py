@@ -26,11 +26,16 @@ def peak(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Inner product over the product of norms; 0 where that product is under 1e-12. Vectors too large to square are scaled first."""
-    plain, size = inner(a, b), norm(a) * norm(b)
+    # One pass for the three sums: every lambda is called once per place.
+    sums = F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
+        F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")),
+        lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy")),
+        lambda s: F.when((F.abs(s["xy"]) < float("inf")) & (F.sqrt(s["xx"]) * F.sqrt(s["yy"]) < float("inf")), F.when(F.sqrt(s["xx"]) * F.sqrt(s["yy"]) < 1e-12, F.lit(0.0)).otherwise(s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"])))),
+    )
     pa, pb = F.greatest(peak(a), F.lit(1e-300)), F.greatest(peak(b), F.lit(1e-300))
     sa, sb = F.transform(a, lambda x: x / pa), F.transform(b, lambda x: x / pb)
-    fits = (size < float("inf")) & (F.abs(plain) < float("inf"))
-    return F.when(fits, F.when(size < 1e-12, F.lit(0.0)).otherwise(plain / size)).otherwise(inner(sa, sb) / (norm(sa) * norm(sb)))
+    return F.coalesce(sums, inner(sa, sb) / (norm(sa) * norm(sb)))
 
 
 def score(metric: str, a: Column, b: Column) -> Column:

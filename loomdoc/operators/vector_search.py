@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, isfinite
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,20 +111,78 @@ def top(scored: DataFrame, k: int, key: str) -> DataFrame:
     return best.select("_row.*").orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
+def _scores(metric: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of all rows of v by all rows of q; not finite where there is none."""
+    kind = METRICS[metric]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        if kind == "l2":
+            return -np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q], 1)
+        dot = v @ q.T
+        if kind == "dot":
+            return dot
+        sizes = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None]
+        out = np.where(sizes < 1e-12, 0.0, dot / np.maximum(sizes, 1e-300))
+        large = ~(np.isfinite(dot) & np.isfinite(sizes)) & np.isfinite(v).all(1)[:, None]
+        for i, j in np.argwhere(large):
+            a, b = v[i] / max(np.abs(v[i]).max(), 1e-300), q[j] / max(np.abs(q[j]).max(), 1e-300)
+            out[i, j] = a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+        return out
+
+
+def _best(block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int):
+    """A task's k best rows of each query: (place of the query, id, score)."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def cut() -> pd.DataFrame:
+            rows = pd.concat(held).sort_values(["q", "score", "id"], ascending=[True, False, True])
+            return rows.groupby("q", sort=False).head(k)
+
+        for b in batches:
+            sizes = b["v"].map(lambda x: -1 if x is None else len(x)).to_numpy()
+            for n, (places, q) in block.items():
+                rows = np.flatnonzero(sizes == n)
+                if not len(rows):
+                    continue
+                s = _scores(metric, np.array(b["v"].iloc[rows].tolist(), float), q)
+                ids = b["id"].to_numpy()[rows]
+                for j, place in enumerate(places):
+                    x = s[:, j]
+                    at = np.flatnonzero(np.isfinite(x))
+                    if len(at) > k:
+                        at = at[x[at] >= np.partition(x[at], len(at) - k)[len(at) - k]]
+                    held.append(pd.DataFrame({"q": np.full(len(at), place), "id": ids[at], "score": x[at]}))
+            if sum(map(len, held)) > 100_000 + 2 * k * sum(len(p) for p, _ in block.values()):
+                held = [cut()]
+        if held:
+            yield cut()
+
+    return best
+
+
 def search_many(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "id", column: str = "vector", query_key: str = "query_id", block: int = BLOCK) -> DataFrame:
     """query_id, rank, id, score of the k nearest rows for each query vector (query_id, vector).
 
-    Queries come in blocks of a counted size, each broadcast as one row; every partition
-    keeps its own k best of each query before anything is shuffled.
+    Queries come in blocks of a counted size, which the driver holds one at a time; tasks
+    score a batch of rows by a whole block at once and report k rows of each query.
     """
+    if metric not in METRICS:
+        raise VectorError(f"unknown metric {metric!r}")
+    spark = df.sparkSession
     parts = max(1, ceil(queries.count() / block))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
+    kinds = f"q int, id {df.schema[key].dataType.simpleString()}, score double"
     out = None
-    rows = df.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
     for p in range(parts):
         mine = queries.where(F.pmod(F.hash(query_key), F.lit(parts)) == p) if parts > 1 else queries
-        packed = mine.agg(F.collect_list(F.struct(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))).alias("block"))  # at most about ``block`` queries
-        scored = rows.join(F.broadcast(packed)).select("id", "v", F.explode("block").alias("b")).select("b.query_id", "id", score(metric, F.col("v"), F.col("b.q")).alias("score")).where("score is not null")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        asked = mine.where("vector is not null").select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q")).collect()  # at most about ``block``
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(asked):
+            by.setdefault(len(r.q), []).append(i)
+        held = {n: (np.array(at), np.array([asked[i].q for i in at], float)) for n, at in by.items() if n}
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", queries.schema[query_key].dataType)]))
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        best = rows.mapInPandas(_best(held, metric, k), kinds).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(F.broadcast(names), "q")
         out = best if out is None else out.unionByName(best)
     return out.select("query_id", "rank", "id", "score")
