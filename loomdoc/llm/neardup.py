@@ -9,11 +9,14 @@ similarity of the bags; for equal weights that is the plain one.
 
 Equal texts (by their words) are one node. Places are cut into bands; nodes that agree in
 a band share a bucket. In each bucket all nodes are held against one centre, and pairs are
-verified by the exact probability Jaccard similarity, 0.8 or more. Where a bucket's nodes
-still belong to several components, nodes of different components are held against each
-other: in buckets of up to ``SMALL`` nodes at once, in larger ones centre after centre, so
-that no pair of a bucket that could join two components is left out, and no group is
-expanded into all its pairs. Components of verified links are the classes.
+verified by the exact probability Jaccard similarity, 0.8 or more. Buckets whose nodes then
+still belong to several components are joined to families; a family is dealt into blocks
+of bounded size, and each pair of blocks is one group: there the nodes of different
+components are held against each other by matrix products, and only links that join
+components come out. So no pair of a bucket that could join two components is left out, no
+group is expanded into rows for all its pairs, and no task holds more than two blocks.
+Blocks of one and the same component are not compared. Components of verified links are the
+classes.
 
 Defined cases: a text of under five words is one shingle; null texts and texts without a
 word are classes of their own; rows with equal texts are copies, also with equal ids; the
@@ -40,8 +43,8 @@ from loomdoc.llm.graph import components
 WORDS, LEAST = 5, 0.8
 #: 24 bands of 4 places: two texts of similarity 0.8 share no bucket in 3 of a million cases.
 BANDS, ROWS = 24, 4
-#: Nodes of a bucket whose components are compared at once.
-SMALL = 32
+#: Nodes, and shingles of them together, in a block of a family.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1_000_000
 #: Ids that are broadcast to pick documents (8 bytes each); more go through a join.
 MOST_IDS = 1_000_000
 MOST_CACHED = 1_000_000
@@ -122,10 +125,14 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], places: int = BANDS *
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The probability Jaccard similarity of two bags with rising keys: the sum over common i of 1 / sum_j max(x_j / x_i, y_j / y_i)."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(common):
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    i = np.flatnonzero(b[0][at] == a[0]) if len(b[0]) else at[:0]
+    if not len(i):
         return 0.0
-    x, y = a[1][i].astype(float), b[1][j].astype(float)
+    if a[1].max() == b[1].max() == 1:
+        return len(i) / (len(a[0]) + len(b[0]) - len(i))
+    x, y = a[1][i].astype(float), b[1][at[i]].astype(float)
     ratio = x / y
     order = np.argsort(ratio, kind="stable")
     # For i: x_j counts where x_j / y_j is at least ratio_i, else ratio_i * y_j; what only one side has counts on that side.
@@ -174,6 +181,112 @@ def _verified(least: float):
     return verify
 
 
+def overlap(a: list[np.ndarray], b: list[np.ndarray], weights: tuple[list[np.ndarray], list[np.ndarray]] | None = None) -> np.ndarray:
+    """For each of a and b the sum over common keys of the product of weights (1 if none are given), by dense products of slices of the keys."""
+    both = [np.concatenate(x) if x else np.zeros(0, _U) for x in (a, b)]
+    shared = np.intersect1d(np.unique(both[0]), np.unique(both[1]), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for k, bags in enumerate((a, b)):
+        row = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+        col = np.searchsorted(shared, both[k])
+        hit = col < len(shared)
+        hit[hit] = shared[col[hit]] == both[k][hit]
+        w = np.concatenate(weights[k])[hit] if weights else np.ones(int(hit.sum()), np.float32)
+        order = np.argsort(col[hit], kind="stable")
+        sides.append((row[hit][order], col[hit][order], w[order]))
+    step = 4096
+    for lo in range(0, len(shared), step):
+        parts = []
+        for (row, col, w), n in zip(sides, (len(a), len(b)), strict=True):
+            i, j = np.searchsorted(col, [lo, lo + step])
+            m = np.zeros((n, step), np.float32)
+            m[row[i:j], col[i:j] - lo] = w[i:j]
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def joining(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """Links between nodes of the two sides (0 and 1; of one side, if there is only one) that join the components which their roots name."""
+    left = np.flatnonzero(sides == 0)
+    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while up.get(r, r) != r:
+            up[r] = r = up.get(up[r], up[r])
+        return r
+
+    found: list[tuple[int, int]] = []
+
+    def link(i: int, j: int) -> None:
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            up[a] = b
+            found.append((int(nodes[i]), int(nodes[j])))
+
+    keys = [k for k, _ in bags]
+    sizes = np.array([len(k) for k in keys], float)
+    plain = np.array([c.max(initial=1) == 1 for _, c in bags])
+    common = overlap([keys[i] for i in left], [keys[j] for j in right])
+    other = roots[left][:, None] != roots[right][None]
+    exact = plain[left][:, None] & plain[right][None]
+    near = common >= (least - 1e-9) * (sizes[left][:, None] + sizes[right][None] - common)
+    for i, j in np.argwhere(other & exact & near):
+        link(left[i], right[j])
+    if not exact.all():
+        # The sum of sqrt(p q) over the shares p, q of common shingles is at least their probability Jaccard similarity.
+        roots_of = [np.sqrt(c / c.sum()).astype(np.float32) for _, c in bags]
+        bound = overlap([keys[i] for i in left], [keys[j] for j in right], ([roots_of[i] for i in left], [roots_of[j] for j in right]))
+        rest = np.argwhere(other & ~exact & (bound >= least - 1e-4))
+        for i, j in rest[np.argsort(-bound[rest[:, 0], rest[:, 1]], kind="stable")]:
+            i, j = left[i], right[j]
+            if top(int(roots[i])) != top(int(roots[j])) and similarity(bags[i], bags[j]) >= least - 1e-12:
+                link(i, j)
+    return found
+
+
+def _joined(least: float):
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        bags = [(np.frombuffer(k, _U), np.frombuffer(c, np.int32)) for k, c in zip(rows["keys"], rows["counts"], strict=True)]
+        return pd.DataFrame(joining(rows["node"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy(), bags, least), columns=["a", "b"])
+
+    return join
+
+
+def _family_links(buckets: DataFrame, roots: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """What the centres left open: links between components that meet in a bucket of three nodes or more."""
+    named = settle(buckets.where("n > 2").join(roots, "node", "left").select("bucket", "node", "centre", F.coalesce("root", "node").alias("root")), "named")
+    split = settle(named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket"), "split")
+    open_ = settle(named.join(split, "bucket", "left_semi").select("node", "root", "centre").distinct(), "open")
+    if open_.isEmpty():
+        return open_.selectExpr("node as a", "node as b").limit(0)
+    families = components(open_.selectExpr("node as a", "centre as b")).select("node", F.col("root").alias("family"))
+    sized = bags.select("node", (F.length("keys") / 8).alias("m"))
+    nodes = settle(open_.select("node", "root").distinct().join(families, "node").join(sized, "node"), "members")
+
+    def blocks(size: str = "count(*)") -> str:
+        return f"cast(ceil(greatest({size} / {float(BLOCK_NODES)}, sum(m) / {float(BLOCK_SHINGLES)})) as int)"
+
+    # A component that fills blocks of its own gets them; all smaller ones of a family share blocks.
+    large = settle(nodes.groupBy("family", "root").agg(F.count("*").alias("n"), F.expr(blocks()).alias("own")).where(f"n >= {BLOCK_NODES}").select("family", "root", "own"), "large")
+    placed = nodes.join(large, ["family", "root"], "left").withColumn("part", F.when(F.col("own").isNotNull(), F.col("root")))
+    small = settle(nodes.join(large, ["family", "root"], "left_anti").groupBy("family").agg(F.expr(blocks()).alias("mixed")), "small")
+    placed = placed.join(small, "family", "left").select(
+        "node", "root", "family", F.concat_ws("/", F.coalesce(F.col("part").cast("string"), F.lit("-")), F.pmod(F.xxhash64("node"), F.coalesce("own", "mixed"))).alias("block"), F.coalesce(F.col("part").cast("string"), F.lit("-")).alias("of")
+    )
+    placed = settle(placed, "blocks")
+    listed = settle(placed.select("family", "block", "of").distinct(), "listed")
+    x, y = listed.select("family", F.col("block").alias("x"), F.col("of").alias("ox")), listed.select("family", F.col("block").alias("y"), F.col("of").alias("oy"))
+    couples = x.join(y, "family").where("x <= y and (ox != oy or ox = '-')").select("family", "x", "y")  # pairs of blocks
+    of_x = couples.select("family", "x", "y", F.col("x").alias("block"), F.lit(0).alias("side"))
+    of_y = couples.where("x != y").select("family", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side"))
+    dealt = settle(of_x.union(of_y), "couples")
+    rows = dealt.join(placed, ["family", "block"]).select("family", "x", "y", "side", "node", "root").join(bags, "node")
+    return settle(rows.groupBy("family", "x", "y").applyInPandas(_joined(least), "a long, b long"), "links")
+
+
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids (column _id)."""
     if ids.count() <= MOST_IDS:
@@ -206,31 +319,9 @@ def classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame
 
     links = _links(bags, pairs, least)
     roots = components(links)
-    # What the centres left open: buckets of three nodes or more that hold several components.
-    open_ = settle(buckets.where("n > 2").select("bucket", "node", (F.col("node") == F.col("centre")).alias("used")), "open")
-    turn = 0
-    while True:
-        turn += 1
-        named = open_.join(roots, "node", "left").select("bucket", "node", "used", F.coalesce("root", "node").alias("root"))
-        split = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.when(F.col("used"), 0).otherwise(1)).alias("fresh")).where("lo != hi and fresh > 1")
-        named = settle(named.join(settle(split.select("bucket", "n"), "split"), "bucket"), "named")
-        if named.isEmpty():
-            break
-        few = named.where(f"n <= {SMALL} and not used")
-        x, y = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        found = x.join(y, "bucket").where("ra != rb and a < b").select("a", "b")
-        many = named.where(f"n > {SMALL}")
-        next_ = settle(many.where("not used").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")), "centres")
-        many = settle(many.join(next_, "bucket"), "many")
-        star = many.join(many.where("node = centre").select("bucket", F.col("root").alias("rc")), "bucket").where("root != rc").selectExpr("least(node, centre) as a", "greatest(node, centre) as b")
-        todo = settle(found.union(star).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = _links(bags, todo, least)
-        if not more.isEmpty():
-            links = settle(links.union(more), "links")
-            roots = components(links)
-        pairs = settle(pairs.union(todo), "pairs")
-        open_ = many.select("bucket", "node", (F.col("used") | (F.col("node") == F.col("centre"))).alias("used"))
-
+    more = _family_links(buckets, roots, bags, least)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = texts.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     named = settle(named, "named")
     sums = settle(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")), "sums")
