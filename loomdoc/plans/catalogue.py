@@ -467,7 +467,7 @@ def _hybrid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(vectors, "doc_id", "left")
 
 
-_NEAR = f"select vec_id as id, list_cosine_similarity(embedding::double[], {_SQL_VECTOR}) as score from embeddings order by 2 desc, 1 limit 100"
+_NEAR = f"select vec_id as id, list_cosine_similarity(embedding::double[], {_SQL_VECTOR}) as score from embeddings where vec_id in (select doc_id from documents) order by 2 desc, 1 limit 100"
 
 
 @query(

@@ -86,3 +86,27 @@ def test_journal(spark):
     state, ids, cursor = changes.journal(log, 10, most=4)
     assert state == "More" and cursor == 14 and ids.count() == 3
     assert changes.journal(log, 14, most=100)[0] == "Covered"
+
+
+def test_shell(spark, tmp_path):
+    from loomdoc.sources.shell import CommandError, Shell
+
+    sh = Shell(Store(spark, f"{tmp_path}/s"))
+    with pytest.raises(StoreError):
+        sh.run("find things")
+    sh.run("create database shop")
+    sh.run("use shop")
+    sh.store.database("shop").create_collection("things", spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 2, [0.0, 1.0])], "id string, n int, vector array<double>"))
+    sh.run('update things {"id": "a"} {"$inc": {"n": 4}}')
+    sh.run("put vector things b [0.5, 0.5]")
+    assert sh.run("list databases") == ["shop"] and sh.run("list collections") == ["things"] and sh.run("show database") == "shop"
+    assert [r.n for r in sh.run('find things {"n": {"$gt": 3}}').collect()] == [5] and sh.run("count things").first().n == 2
+    assert [r.id for r in sh.run("query vector things [1, 1] --k 1 --metric cosine").collect()] == ["b"]
+    assert sh.run('aggregate things [{"$sort": {"n": -1}}, {"$limit": 1}]').first().id == "a" and sh.run('explain things {"id": "a"}')["plan"] == "INDEX_LOOKUP"
+    sh.run('delete things {"id": "a"}')
+    assert [r.id for r in sh.run("findOne things").collect()] == ["b"] and sh.run("ask things where n is 2").count() == 1
+    for bad in ("dance", "find", "find things {", 'find things {} more', 'update things {"id": 1}', "query vector things [1] --odd 3"):
+        with pytest.raises((CommandError, ValueError)):
+            sh.run(bad)
+    sh.run("drop database shop")
+    assert sh.using is None
