@@ -32,6 +32,8 @@ MOST_ROWS, MOST_FEATURES, MOST_SWAPS = 12_000, 8_192, 4_096
 #: Words kept with their features by a worker, before it starts anew.
 MOST_CACHED = 500_000
 ACCEPT, MOD, HELD = 0.5, 5, 0
+#: The penalty on weights, against a loss in which either class weighs one half.
+L1 = 4e-3
 
 #: Terms of groups; those of one line are swapped for each other.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -115,7 +117,7 @@ class ToxicityModel:
         return score
 
 
-def fit_sparse(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int], list[int]]], n: int, l1: float = 4e-3, swap: float = 10.0, steps: int = 800) -> tuple[np.ndarray, float]:
+def fit_sparse(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int], list[int]]], n: int, l1: float = L1, swap: float = 10.0, steps: int = 800) -> tuple[np.ndarray, float]:
     """Non-negative weights and a base that minimise class-balanced logistic loss + l1 |w| + swap mean((w delta)^2), by accelerated proximal steps."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.array([c for r in rows for c in r], int)
@@ -211,7 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     known = Features(among.value)
     for group in IDENTITY_TERMS:  # the bare terms too, so that those which no labelled sentence holds weigh the same
         deltas += [(sorted(x - z), sorted(z - x)) for s, o in zip(group, group[1:], strict=False) if (x := known.of(s)) != (z := known.of(o))]
-    w, base = fit_sparse([x for _, x in train], np.array([y for y, _ in train], float), deltas, len(chosen))
+    y = np.array([y for y, _ in train], float)
+    w, base = fit_sparse([x for _, x in train], y, deltas, len(chosen))
+    # The penalty that chooses features also holds their weights down; those chosen are fitted again with little of it.
+    kept = {int(i): j for j, i in enumerate(np.flatnonzero(w > 0))}
+    if kept:
+        only = lambda x: [kept[i] for i in x if i in kept]
+        again, base = fit_sparse([only(x) for _, x in train], y, [(only(a), only(b)) for a, b in deltas], len(kept), l1=L1 / 20)
+        w = np.zeros(len(chosen))
+        w[list(kept)] = again
     return ToxicityModel({h: float(w[i]) for h, i in among.value.items() if w[i] > 0}, base)
 
 
