@@ -14,10 +14,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.vectors import METRICS
+from loomdoc.functions.vectors import METRICS, score
 from loomdoc.operators.vector_search import VectorError, checked_dense, search
 
 MOST_SAMPLE, MOST_CELLS = 20_000, 4_096
@@ -100,6 +100,23 @@ def search_index(spark: SparkSession, index: Index, vector: list[float], k: int
     return search(rows, v, k, index.metric, query, key=index.key, column=index.column)
 
 
+def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, probes: int | None = None, query_key: str = "query_id") -> DataFrame:
+    """query_id, rank, id, score for many queries (query_id, vector): each meets the rows of its nearest cells in a join by cell."""
+    centres, metric, n = np.array(index.centres), index.metric, probes or max(1, ceil(len(index.centres) * 0.3))
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        q = _ready(np.array(v.tolist(), float).reshape(len(v), centres.shape[1]), metric)
+        away = (centres**2).sum(1)[None] - 2 * q @ centres.T if METRICS[metric] != "dot" else -(q @ centres.T)
+        return pd.Series(np.argsort(away, 1, kind="stable")[:, :n].astype("int32").tolist())
+
+    asked = queries.where(F.size("vector") == centres.shape[1]).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
+    rows = spark.read.parquet(index.path).select(F.col(index.key).alias("id"), F.col(index.column).cast("array<double>").alias("v"), "_cell")
+    met = asked.select("query_id", "q", F.explode(nearest("q")).alias("_cell")).join(rows, "_cell").select("query_id", "id", score(metric, F.col("v"), F.col("q")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def route(df: DataFrame, vector: list[float], index: Index | None, mode: str = "auto", fallback: bool = True, **how) -> tuple[DataFrame, dict]:
     """Exact or approximate search, and a report of what was done. Filters make it exact."""
     if mode not in ("auto", "exact", "ann"):
