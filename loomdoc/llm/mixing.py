@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = settle(keyed(docs, ranges_for(docs.count()), SEED), "mix")
-    done = cut(rows, settle(budgets(rows), "mix"))
+    done = cut(rows, budgets(rows))
     return done.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
