@@ -123,11 +123,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     against = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(len(p)).alias("m"), F.lit(list(made[f"t{i}"])).alias("h")) for i, (k, p) in enumerate(known.items())))
 
     text = F.col("text").cast("string")
-    held = docs.select("doc_id", text.alias("text")).where(F.arrays_overlap(hashes_of(words_of(F.col("text"))), first))
+    # explode(array(..)) makes words and hashes once; as plain columns they would be made again wherever they are used.
+    once = lambda c: F.explode(F.array(c))
+    held = docs.select("doc_id", text.alias("text")).where("text is not null").select("doc_id", "text", once(words_of(F.col("text"))).alias("w")).where(F.arrays_overlap(hashes_of(F.col("w")), first))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), (i + 1).alias("unit_no"), x.alias("body")))
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(1).alias("unit_no"), F.col("text").alias("body")))
     units = held.select("doc_id", F.explode(F.concat(lines, F.when(F.instr("text", "\n") > 0, whole).otherwise(F.slice(whole, 1, 0)))).alias("u")).select("doc_id", "u.*")
-    units = units.withColumn("h", F.array_distinct(hashes_of(words_of(F.col("body"))))).where(F.arrays_overlap("h", first)).withColumn("n", F.size("h"))
+    units = units.select("*", once(words_of(F.col("body"))).alias("w")).select("doc_id", "unit", "unit_no", "body", once(F.array_distinct(hashes_of(F.col("w")))).alias("h"))
+    units = units.where(F.arrays_overlap("h", first)).withColumn("n", F.size("h"))
 
     def near(t: Column) -> Column:
         return (2.0 * F.least(F.col("n"), t["m"]) >= threshold * (F.col("n") + t["m"])) & (2.0 * F.size(F.array_intersect("h", t["h"])) >= threshold * (F.col("n") + t["m"]))
