@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.text import query_tokens, tokens
+from loomdoc.functions.text import ascii_lower, query_tokens, tokens
 from loomdoc.operators.filters import predicate
 from loomdoc.operators.vector_search import search, top
 
@@ -34,9 +34,12 @@ def bm25(df: DataFrame, text: str, k: int = 10, query: Any = None, every_term: b
     if not terms:
         return df.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
     keep = predicate(query, df.schema)
-    # explode(array(..)) makes the tokens once; as a plain column they would be made again for each term.
-    held = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), keep.alias("keep"), F.explode(F.array(tokens(F.col(column)))).alias("w"))
-    counts = held.select("id", "keep", F.size("w").alias("n"), *(_occurrences(x).alias(f"tf{i}") for i, x in enumerate(terms)))
+    # Only the query's own tokens are kept of each text; explode(array(..)) makes them once instead of once for each term.
+    edge = r"[a-z0-9\x{80}-\x{10FFFF}]"
+    pattern = f"(?<!{edge})(?:" + "|".join(f"\\Q{t}\\E" for t in terms) + f")(?!{edge})"
+    hits = F.regexp_extract_all(ascii_lower(F.col(column)), F.lit(pattern), F.lit(0))
+    held = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), keep.alias("keep"), F.size(tokens(F.col(column))).alias("n"), F.explode(F.array(hits)).alias("w"))
+    counts = held.select("id", "keep", "n", *(_occurrences(x).alias(f"tf{i}") for i, x in enumerate(terms)))
     stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
     joined = counts.where("keep").join(F.broadcast(stats))  # one row
     total, hits = F.lit(0.0), F.lit(0)
