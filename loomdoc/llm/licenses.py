@@ -11,11 +11,18 @@ Defined cases: null text and texts without a bigram match nothing; a unit that m
 several templates gets the best, and of equal ones the smaller name; the first of repeated
 lines of a document stands for all of them, with their number; rows with equal ids and text
 give equal rows; an empty table gives no rows; other columns are not read.
+
+A notice that is wrapped over lines, or shares its line with other words, is a passage: a
+run of words that starts and ends with a bigram of the template and has at most 1.5 times
+(the Dice size bound) its bigrams. ``passages`` scores all of them. Only places where enough
+of a template's bigrams lie close together are looked at, and nothing is lost. Of passages
+that share a word the best stands: higher Dice, more bigrams, smaller name, earlier start.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,22 +116,38 @@ def hashes_of(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit (line or text), unit_no (from 1), copies, template, dice, n_bigrams of each match."""
-    spark = docs.sparkSession
+def once(c: Column) -> Column:
+    """Makes words and hashes once; as plain columns they would be made again wherever they are used."""
+    return F.explode(F.array(c))
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, within a lambda."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _constants(spark: SparkSession, templates: dict[str, str] | None, threshold: float) -> tuple[Column, Column]:
+    """Hashes of all anchors, and (name, m, h, a, least, span) of each template: its distinct bigrams, their hashes and anchors, how many a match shares at least, and the most bigrams of a passage."""
     known = {k: p for k, v in sorted((templates or TEMPLATES).items()) if (p := bigrams(v))}
 
     def hashed(pairs: list[tuple[str, str]]) -> Column:
         return F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in pairs))
 
     # Templates are a parameter: their hashes are constants of the plan.
-    made = spark.range(1).select(hashed(sorted({a for p in known.values() for a in anchors(p, threshold)})).alias("a"), *(hashed(p).alias(f"t{i}") for i, p in enumerate(known.values()))).first()
-    first = F.lit(list(made["a"]))
-    against = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(len(p)).alias("m"), F.lit(list(made[f"t{i}"])).alias("h")) for i, (k, p) in enumerate(known.items())))
+    made = spark.range(1).select(hashed(sorted({a for p in known.values() for a in anchors(p, threshold)})).alias("a"), *(x for i, p in enumerate(known.values()) for x in (hashed(p).alias(f"t{i}"), hashed(anchors(p, threshold)).alias(f"a{i}")))).first()
+    of = lambda k, i, p: {
+        "name": k, "m": len(p), "h": list(made[f"t{i}"]), "a": list(made[f"a{i}"]), "least": ceil(threshold / (2 - threshold) * len(p) - 1e-9),
+        "span": int((2 - threshold) / threshold * (len(normal((templates or TEMPLATES)[k])) - 1) + 1e-9),
+    }
+    return F.lit(list(made["a"])), F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in of(k, i, p).items())) for i, (k, p) in enumerate(known.items())))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, unit (line or text), unit_no (from 1), copies, template, dice, n_bigrams of each match."""
+    spark = docs.sparkSession
+    first, against = _constants(spark, templates, threshold)
 
     text = F.col("text").cast("string")
-    # explode(array(..)) makes words and hashes once; as plain columns they would be made again wherever they are used.
-    once = lambda c: F.explode(F.array(c))
     held = docs.select("doc_id", text.alias("text")).where("text is not null").select("doc_id", "text", once(words_of(F.col("text"))).alias("w")).where(F.arrays_overlap(hashes_of(F.col("w")), first))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), (i + 1).alias("unit_no"), x.alias("body")))
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(1).alias("unit_no"), F.col("text").alias("body")))
@@ -145,6 +168,56 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     )
 
 
+def passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, first_word (from 1), n_words, template, dice, n_bigrams of each passage that matches, wherever lines begin and end."""
+    first, against = _constants(docs.sparkSession, templates, threshold)
+    held = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").select("doc_id", once(words_of(F.col("text"))).alias("w"))
+    held = held.select("doc_id", once(hashes_of(F.col("w"))).alias("h")).where(F.arrays_overlap("h", first))
+
+    def places(t: Column) -> Column:
+        """Where the text has bigrams of the template."""
+        return F.filter(F.transform("h", lambda x, i: F.when(F.array_contains(t["h"], x), i)), lambda i: i.isNotNull())
+
+    def starts(t: Column, at: Column) -> Column:
+        """Places after which enough others follow within a passage's length."""
+        every = F.when(F.size(at) >= t["least"], F.sequence(F.lit(0), F.size(at) - t["least"])).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda j: F.get(at, j + t["least"] - 1) - F.get(at, j) < t["span"])
+
+    def best(t: Column, at: Column, j: Column) -> Column:
+        """The best passage from the j-th place on; null if none is near enough."""
+        ends = F.filter(F.sequence(j + t["least"] - 1, F.least(F.size(at), j + t["span"]) - 1), lambda e: F.get(at, e) - F.get(at, j) < t["span"])
+
+        def scored(e: Column) -> Column:
+            return let(
+                F.array_distinct(F.slice("h", F.get(at, j) + 1, F.get(at, e) - F.get(at, j) + 1)),
+                lambda g: let(
+                    F.size(F.array_intersect(g, t["h"])),
+                    lambda c: F.when(
+                        2.0 * c >= threshold * (F.size(g) + t["m"]),
+                        F.struct((-2.0 * c / (F.size(g) + t["m"])).alias("less"), (-F.size(g)).alias("fewer"), t["name"].alias("name"), F.get(at, j).alias("start"), (F.get(at, e) + 1).alias("end")),
+                    ),
+                ),
+            )
+
+        return F.array_min(F.transform(ends, scored))
+
+    def found(t: Column) -> Column:
+        return let(places(t), lambda at: F.filter(F.transform(starts(t, at), lambda j: best(t, at, j)), lambda x: x.isNotNull()))
+
+    near = held.select("doc_id", once(F.flatten(F.transform(F.filter(against, lambda t: F.arrays_overlap("h", t["a"])), found))).alias("near")).where("size(near) > 0")
+    apart = F.aggregate(
+        F.array_sort("near"), F.slice("near", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: (k["start"] <= x["end"]) & (x["start"] <= k["end"])), kept).otherwise(F.concat(kept, F.array(x)))
+    )
+    return near.select("doc_id", F.explode(apart).alias("x")).select(
+        "doc_id", (F.col("x.start") + 1).cast("long").alias("first_word"), (F.col("x.end") - F.col("x.start") + 1).cast("long").alias("n_words"), F.col("x.name").alias("template"), (-F.col("x.less")).alias("dice"), (-F.col("x.fewer")).cast("long").alias("n_bigrams")
+    )
+
+
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices within lines and over several lines; the SQL of op2_licenses knows lines and whole texts only."""
+    return passages(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "unit", "unit_no", "copies", "template", F.round("dice", 9).alias("dice"), "n_bigrams")
