@@ -1,8 +1,10 @@
 """Approximate vector search: an inverted file of k-means cells with exact re-ranking.
 
 The centres are fitted on a bounded sample; every row is assigned to a cell and written by
-cell, so that a probe reads only its cells. The manifest records the metric, the source's
-version and the recall measured against exact search.
+cell, so that a probe reads only its cells. How many cells are probed is found at build
+time: rows held back from the fit are searched exactly, and so many cells are read as hold
+``AIM`` of their true neighbours. The index records the metric, the source's version, the
+probes and the recall measured with them.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions.vectors import METRICS, score
-from loomdoc.operators.vector_search import VectorError, checked_dense, search
+from loomdoc.operators.vector_search import VectorError, checked_dense, search, search_many
 
 MOST_SAMPLE, MOST_CELLS = 20_000, 4_096
+#: Recall demanded of the default search, aimed at on the held-back rows, how many of them at most, and neighbours of each.
+LEAST_RECALL, AIM, MOST_HELD, NEIGHBOURS = 0.9, 0.95, 200, 10
 STATES = ("ABSENT", "QUEUED", "BUILDING", "READY", "STALE", "FAILED")
 
 
@@ -36,6 +40,8 @@ class Index:
     state: str = "READY"
     source_version: int = 0
     centres: list[list[float]] = field(default_factory=list)
+    probes: int = 0
+    recall: float | None = None
 
     def manifest(self) -> str:
         return json.dumps(asdict(self))
@@ -68,13 +74,39 @@ def build(df: DataFrame, path: str, name: str = "default", column: str = "vector
     if not sample:
         raise VectorError("nothing to index")
     length = len(sample[0].v)
-    points = _ready(np.array([r.v for r in sample if len(r.v) == length]), metric)
-    centres = lloyd(points, min(MOST_CELLS, cells or max(1, ceil(sqrt(n)) // 2)))
-    index = Index(name, path, column, metric, key, source_version=version, centres=centres.tolist())
+    raw = np.array([r.v for r in sample if len(r.v) == length])
+    order = np.random.default_rng(21).permutation(len(raw))
+    held, fitted = np.split(order, [min(MOST_HELD, len(raw) // 10)])
+    centres = lloyd(_ready(raw[fitted], metric), min(MOST_CELLS, cells or max(1, ceil(sqrt(n)) // 2)))
+    index = Index(name, path, column, metric, key, source_version=version, centres=centres.tolist(), probes=len(centres))
     assign(vectors.where(F.size(column) == length), index).write.mode("overwrite").partitionBy("_cell").parquet(path)
+    _measure(spark, index, raw[held])
     return index
 
 
+def _nearest(index: Index, q: np.ndarray) -> np.ndarray:
+    """The cells of each query, the nearest first."""
+    centres, q = np.array(index.centres), _ready(q, index.metric)
+    away = (centres**2).sum(1)[None] - 2 * q @ centres.T if METRICS[index.metric] != "dot" else -(q @ centres.T)
+    return np.argsort(away, 1, kind="stable")
+
+
+def _measure(spark: SparkSession, index: Index, held: np.ndarray) -> None:
+    """Set the probes that reach AIM on held-back rows, and the recall they reach. A held-back row's first neighbour, itself, does not count. With nothing to measure on, all cells are probed."""
+    if not len(held):
+        return
+    rows = spark.read.parquet(index.path)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "query_id int, vector array<double>")
+    true = search_many(rows, asked, NEIGHBOURS + 1, index.metric, index.key, index.column).where("rank > 1").select("query_id", "id")
+    cells = rows.select(F.col(index.key).alias("id"), "_cell").join(F.broadcast(true), "id").collect()  # MOST_HELD times NEIGHBOURS
+    if not cells:
+        return
+    places = np.argsort(_nearest(index, held), 1)  # of each cell in each query's order
+    needed = np.sort([places[r.query_id, r["_cell"]] + 1 for r in cells])
+    index.probes = int(needed[ceil(AIM * len(needed)) - 1])
+    index.recall = float((needed <= index.probes).mean())
+
+
 def assign(df: DataFrame, index: Index) -> DataFrame:
     """The rows with the cell of their vector."""
     centres, metric = np.array(index.centres), index.metric
@@ -92,41 +124,39 @@ def search_index(spark: SparkSession, index: Index, vector: list[float], k: int
     if index.state != "READY" or version is not None and version != index.source_version:
         raise VectorError(f"index {index.name} is {'STALE' if index.state == 'READY' else index.state}")
     v = checked_dense(vector)
-    centres = np.array(index.centres)
-    q = _ready(np.array([v]), index.metric)[0]
-    away = ((centres - q) ** 2).sum(1) if METRICS[index.metric] != "dot" else -(centres @ q)
-    nearest = np.argsort(away, kind="stable")[: probes or max(1, ceil(len(centres) * 0.3))]
+    nearest = _nearest(index, np.array([v]))[0][: probes or index.probes]
     rows = spark.read.parquet(index.path).where(F.col("_cell").isin(*map(int, nearest))).drop("_cell")
     return search(rows, v, k, index.metric, query, key=index.key, column=index.column)
 
 
 def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, probes: int | None = None, query_key: str = "query_id") -> DataFrame:
     """query_id, rank, id, score for many queries (query_id, vector): each meets the rows of its nearest cells in a join by cell."""
-    centres, metric, n = np.array(index.centres), index.metric, probes or max(1, ceil(len(index.centres) * 0.3))
+    length, metric, n = len(index.centres[0]), index.metric, probes or index.probes
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        q = _ready(np.array(v.tolist(), float).reshape(len(v), centres.shape[1]), metric)
-        away = (centres**2).sum(1)[None] - 2 * q @ centres.T if METRICS[metric] != "dot" else -(q @ centres.T)
-        return pd.Series(np.argsort(away, 1, kind="stable")[:, :n].astype("int32").tolist())
+        return pd.Series(_nearest(index, np.array(v.tolist(), float).reshape(len(v), length))[:, :n].astype("int32").tolist())
 
-    asked = queries.where(F.size("vector") == centres.shape[1]).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
+    asked = queries.where(F.size("vector") == length).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
     rows = spark.read.parquet(index.path).select(F.col(index.key).alias("id"), F.col(index.column).cast("array<double>").alias("v"), "_cell")
     met = asked.select("query_id", "q", F.explode(nearest("q")).alias("_cell")).join(rows, "_cell").select("query_id", "id", score(metric, F.col("v"), F.col("q")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return met.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def route(df: DataFrame, vector: list[float], index: Index | None, mode: str = "auto", fallback: bool = True, **how) -> tuple[DataFrame, dict]:
-    """Exact or approximate search, and a report of what was done. Filters make it exact."""
+def route(df: DataFrame, vector: list[float], index: Index | None, mode: str = "auto", fallback: bool = True, probes: int | None = None, **how) -> tuple[DataFrame, dict]:
+    """Exact or approximate search, and a report of what was done. Filters, a modality, and a space, key or metric that the index is not about make it exact; an index's metric, key and column hold unless others are named."""
     if mode not in ("auto", "exact", "ann"):
         raise VectorError(f"unknown mode {mode!r}")
-    usable = index is not None and index.state == "READY" and how.get("query") is None
+    if index is not None:
+        how = {"metric": index.metric, "key": index.key, "column": index.column} | how
+    usable = index is not None and index.state == "READY" and how.get("query") is None and how.get("modality") is None
+    usable = usable and (how["metric"], how["key"], how.get("name") or how["column"]) == (index.metric, index.key, index.column)
     if mode == "exact" or not usable:
         if mode == "ann" and not fallback:
-            raise VectorError("no index is ready")
+            raise VectorError("no index is ready for this search")
         return search(df, vector, **how), {"requested_mode": mode, "executed_mode": "exact", "fallback": mode == "ann"}
-    return search_index(df.sparkSession, index, vector, how.get("k", 10)), {"requested_mode": mode, "executed_mode": "ann", "fallback": False, "index": index.name}
+    return search_index(df.sparkSession, index, vector, how.get("k", 10), probes), {"requested_mode": mode, "executed_mode": "ann", "fallback": False, "index": index.name}
 
 
 def upsert_index(spark: SparkSession, index: Index, rows: DataFrame) -> None:
