@@ -5,24 +5,30 @@ cell, so that a probe reads only its cells. How many cells are probed is found a
 time: rows held back from the fit are searched exactly, and so many cells are read as hold
 ``AIM`` of their true neighbours. The index records the metric, the source's version, the
 probes and the recall measured with them.
+
+Each length of vectors has centres, probes and recall of its own. Empty vectors and such with
+a value that is null or not finite have no score in exact search either, and are left out.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from math import ceil, sqrt
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions.vectors import METRICS, score
 from loomdoc.operators.vector_search import VectorError, checked_dense, search, search_many
 
 MOST_SAMPLE, MOST_CELLS = 20_000, 4_096
+#: Rows of each length in the sample, even of rare ones.
+LEAST_SAMPLE = 64
 #: Recall demanded of the default search, aimed at on the held-back rows, how many of them at most, and neighbours of each.
 LEAST_RECALL, AIM, MOST_HELD, NEIGHBOURS = 0.9, 0.95, 200, 10
 STATES = ("ABSENT", "QUEUED", "BUILDING", "READY", "STALE", "FAILED")
@@ -40,8 +46,8 @@ class Index:
     state: str = "READY"
     source_version: int = 0
     centres: list[list[float]] = field(default_factory=list)
-    probes: int = 0
-    recall: float | None = None
+    probes: dict[int, int] = field(default_factory=dict)
+    recall: dict[int, float] = field(default_factory=dict)
 
     def manifest(self) -> str:
         return json.dumps(asdict(self))
@@ -67,54 +73,87 @@ def build(df: DataFrame, path: str, name: str = "default", column: str = "vector
     if metric not in METRICS:
         raise VectorError(f"unknown metric {metric!r}")
     spark = df.sparkSession
-    vectors = df.where(F.col(column).isNotNull())
-    n = vectors.count()
-    share = min(1.0, MOST_SAMPLE / max(1, n))
-    sample = vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(column).cast("array<double>").alias("v")).orderBy("v").collect()
-    if not sample:
+    vectors = df.where(_scored(F.col(column)))
+    sizes = {r[0]: r[1] for r in vectors.groupBy(F.size(column)).count().collect()}  # lengths, a few
+    if not sizes:
         raise VectorError("nothing to index")
-    length = len(sample[0].v)
-    raw = np.array([r.v for r in sample if len(r.v) == length])
-    order = np.random.default_rng(21).permutation(len(raw))
-    held, fitted = np.split(order, [min(MOST_HELD, len(raw) // 10)])
-    centres = lloyd(_ready(raw[fitted], metric), min(MOST_CELLS, cells or max(1, ceil(sqrt(n)) // 2)))
-    index = Index(name, path, column, metric, key, source_version=version, centres=centres.tolist(), probes=len(centres))
-    assign(vectors.where(F.size(column) == length), index).write.mode("overwrite").partitionBy("_cell").parquet(path)
-    _measure(spark, index, raw[held])
+    n = sum(sizes.values())
+    limits = F.create_map(*(F.lit(x) for m, c in sizes.items() for x in (m, int(min(1.0, max(LEAST_SAMPLE / c, MOST_SAMPLE / n)) * (1 << 20)))))
+    sample: dict[int, list] = {}
+    for r in vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.element_at(limits, F.size(column))).select(F.col(column).cast("array<double>").alias("v")).orderBy("v").collect():
+        sample.setdefault(len(r.v), []).append(r.v)
+    index, held = Index(name, path, column, metric, key, source_version=version), []
+    for m in sorted(sizes):
+        raw = np.array(sample.get(m) or [[0.0] * m])
+        order = np.random.default_rng(21).permutation(len(raw))
+        apart, fitted = np.split(order, [min(MOST_HELD, len(raw) // 10)])
+        k = max(1, round(cells * sizes[m] / n)) if cells else max(1, ceil(sqrt(sizes[m])) // 2)
+        centres = lloyd(_ready(raw[fitted], metric), min(MOST_CELLS, k))
+        index.centres += centres.tolist()
+        index.probes[m] = len(centres)
+        held += list(raw[apart])
+    assign(vectors, index).write.mode("overwrite").partitionBy("_cell").parquet(path)
+    _measure(spark, index, held)
     return index
 
 
+def _scored(c: Column) -> Column:
+    """Can a vector have a score?"""
+    bad = F.exists(c.cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return c.isNotNull() & (F.size(c) > 0) & ~bad
+
+
+def _cells(index: Index, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and centres of the cells of one length."""
+    ids = np.array([i for i, c in enumerate(index.centres) if len(c) == length], int)
+    return ids, np.array([index.centres[i] for i in ids], float).reshape(len(ids), length)
+
+
+def _by_length(v: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors) of a batch, without null and empty ones."""
+    sizes = np.array([0 if x is None else len(x) for x in v], int)
+    for m in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == m)
+        yield int(m), rows, np.array(v.iloc[rows].tolist(), float).reshape(len(rows), m)
+
+
 def _nearest(index: Index, q: np.ndarray) -> np.ndarray:
-    """The cells of each query, the nearest first."""
-    centres, q = np.array(index.centres), _ready(q, index.metric)
+    """The cells of each query, all of one length, the nearest first."""
+    ids, centres = _cells(index, q.shape[1])
+    q = _ready(q, index.metric)
     away = (centres**2).sum(1)[None] - 2 * q @ centres.T if METRICS[index.metric] != "dot" else -(q @ centres.T)
-    return np.argsort(away, 1, kind="stable")
+    return ids[np.argsort(away, 1, kind="stable")]
 
 
-def _measure(spark: SparkSession, index: Index, held: np.ndarray) -> None:
+def _measure(spark: SparkSession, index: Index, held: list[np.ndarray]) -> None:
     """Set the probes that reach AIM on held-back rows, and the recall they reach. A held-back row's first neighbour, itself, does not count. With nothing to measure on, all cells are probed."""
-    if not len(held):
+    if not held:
         return
     rows = spark.read.parquet(index.path)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "query_id int, vector array<double>")
     true = search_many(rows, asked, NEIGHBOURS + 1, index.metric, index.key, index.column).where("rank > 1").select("query_id", "id")
-    cells = rows.select(F.col(index.key).alias("id"), "_cell").join(F.broadcast(true), "id").collect()  # MOST_HELD times NEIGHBOURS
-    if not cells:
-        return
-    places = np.argsort(_nearest(index, held), 1)  # of each cell in each query's order
-    needed = np.sort([places[r.query_id, r["_cell"]] + 1 for r in cells])
-    index.probes = int(needed[ceil(AIM * len(needed)) - 1])
-    index.recall = float((needed <= index.probes).mean())
+    places = [{c: i + 1 for i, c in enumerate(_nearest(index, v[None])[0].tolist())} for v in held]
+    needed: dict[int, list[int]] = {}
+    # MOST_HELD times NEIGHBOURS of each length; a repeated key may lie in cells of another length too.
+    for r in rows.select(F.col(index.key).alias("id"), "_cell").join(F.broadcast(true), "id").collect():
+        if r["_cell"] in places[r.query_id]:
+            needed.setdefault(len(held[r.query_id]), []).append(places[r.query_id][r["_cell"]])
+    for m, at in needed.items():
+        index.probes[m] = sorted(at)[ceil(AIM * len(at)) - 1]
+        index.recall[m] = sum(x <= index.probes[m] for x in at) / len(at)
 
 
 def assign(df: DataFrame, index: Index) -> DataFrame:
-    """The rows with the cell of their vector."""
-    centres, metric = np.array(index.centres), index.metric
+    """The rows with the cell of their vector; null if the index has none of its length."""
 
     @F.pandas_udf("int")
     def cell(v: pd.Series) -> pd.Series:
-        points = _ready(np.array(v.tolist(), float).reshape(len(v), -1), metric) if len(v) else np.zeros((0, centres.shape[1]))
-        return pd.Series(((centres**2).sum(1)[None] - 2 * points @ centres.T).argmin(1), dtype="int32")
+        out = pd.Series([None] * len(v), dtype="Int32")
+        for m, rows, raw in _by_length(v):
+            ids, centres = _cells(index, m)
+            if len(ids):
+                out.iloc[rows] = ids[((centres**2).sum(1)[None] - 2 * _ready(raw, index.metric) @ centres.T).argmin(1)]
+        return out
 
     return df.withColumn("_cell", cell(F.col(index.column).cast("array<double>")))
 
@@ -124,20 +163,24 @@ def search_index(spark: SparkSession, index: Index, vector: list[float], k: int
     if index.state != "READY" or version is not None and version != index.source_version:
         raise VectorError(f"index {index.name} is {'STALE' if index.state == 'READY' else index.state}")
     v = checked_dense(vector)
-    nearest = _nearest(index, np.array([v]))[0][: probes or index.probes]
+    nearest = _nearest(index, np.array([v]))[0][: probes or index.probes.get(len(v), 1)]
     rows = spark.read.parquet(index.path).where(F.col("_cell").isin(*map(int, nearest))).drop("_cell")
     return search(rows, v, k, index.metric, query, key=index.key, column=index.column)
 
 
 def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, probes: int | None = None, query_key: str = "query_id") -> DataFrame:
     """query_id, rank, id, score for many queries (query_id, vector): each meets the rows of its nearest cells in a join by cell."""
-    length, metric, n = len(index.centres[0]), index.metric, probes or index.probes
+    metric = index.metric
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(index, np.array(v.tolist(), float).reshape(len(v), length))[:, :n].astype("int32").tolist())
+        out: list[list[int]] = [[] for _ in v]
+        for m, at, q in _by_length(v):
+            for i, cells in zip(at, _nearest(index, q)[:, : probes or index.probes.get(m, 1)], strict=True):
+                out[i] = cells.tolist()
+        return pd.Series(out, dtype=object)
 
-    asked = queries.where(F.size("vector") == length).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
     rows = spark.read.parquet(index.path).select(F.col(index.key).alias("id"), F.col(index.column).cast("array<double>").alias("v"), "_cell")
     met = asked.select("query_id", "q", F.explode(nearest("q")).alias("_cell")).join(rows, "_cell").select("query_id", "id", score(metric, F.col("v"), F.col("q")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -161,7 +204,11 @@ def route(df: DataFrame, vector: list[float], index: Index | None, mode: str = "
 
 def upsert_index(spark: SparkSession, index: Index, rows: DataFrame) -> None:
     """Put new versions of rows into the index: their cells of before and after are rewritten."""
-    fresh = assign(rows.where(F.col(index.column).isNotNull()), index)
+    fit = rows.where(_scored(F.col(index.column)))
+    for m in sorted({r[0] for r in fit.select(F.size(index.column)).distinct().collect()} - {len(c) for c in index.centres}):  # new lengths: one cell each
+        index.centres.append([0.0] * m)
+        index.probes[m] = 1
+    fresh = assign(fit, index)
     held = spark.read.parquet(index.path)
     touched = [r[0] for r in held.join(rows.select(index.key), index.key, "left_semi").select("_cell").union(fresh.select("_cell")).distinct().collect()]  # cells, a bounded number
     new = held.where(F.col("_cell").isin(*touched)).join(rows.select(index.key), index.key, "left_anti").unionByName(fresh.select(*held.columns))
