@@ -123,9 +123,10 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ..
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that overlap no item, with all their columns; a document with a null id is held against null ids."""
-    leaks = settle(overlaps(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """The documents whose own text overlaps no item, with all their columns. Rows are told apart by id and a hash of the text, so that others with the same id, or with none, stay."""
+    row = F.concat(F.coalesce(F.concat(F.lit("="), docs["doc_id"].cast("string")), F.lit("")), F.lit(":"), F.xxhash64(docs["text"].cast("string")).cast("string"))
+    leaks = settle(overlaps(docs.select(row.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, row == leaks["_leak"], "left_anti")
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

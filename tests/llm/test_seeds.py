@@ -46,3 +46,10 @@ def test_brute_force_over_all_alignments(spark):
     asked = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert {tuple(r) for r in decontam.overlaps(*asked).select("doc_id", "item_id", "matched", "compared").collect()} == want
     assert {r.doc_id for r in decontam.drop_leaks(*asked).collect()} == set(range(len(docs))) - {x[0] for x in want}
+
+
+def test_rows_that_share_an_id_with_a_leak_stay(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, item), (1, "clean"), (None, f"so {item}"), (None, "clean too"), (2, None), (3, "x")], "doc_id long, text string")
+    kept = decontam.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {tuple(r) for r in kept.collect()} == {(1, "clean"), (None, "clean too"), (2, None), (3, "x")} and kept.columns == docs.columns
