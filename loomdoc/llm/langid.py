@@ -96,14 +96,22 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
-    """Learn from text and lang of documents outside the held-out fold: about ``most`` of them, the same in each run."""
+    """Learn from text and lang of documents outside the held-out fold: about ``most`` of them, an equal share of each language as far as it has so many, the same in each run."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), MOD) != HELD))
-    n = rows.count()
+    sizes = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    each, left = float(most), most
+    for i, (_, c) in enumerate(sorted(sizes, key=lambda x: x[1])):  # small languages whole; what they leave of their share goes to the others
+        each = left / (len(sizes) - i)
+        if c > each:
+            break
+        left -= c
+    else:
+        each = float(most)
+    parts = F.broadcast(spark.createDataFrame([(lang, min(1.0, each / c)) for lang, c in sizes], "lang string, part double"))
     mine = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), MOD) != HELD))
-    if n > most:
-        mine = mine.where(share(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < most / n)
+    mine = mine.join(parts, "lang").where((F.col("part") >= 1) | (share(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("part")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,7 +140,7 @@ def fit(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
     cuts = F.broadcast(spark.createDataFrame([(a, int(b), int(c)) for a, b, c in least], "lang string, kind int, least long"))
     got = counts.join(cuts, ["lang", "kind"]).where("n >= least").select("lang", "kind", "item", "n").toPandas()
     totals = got.groupby("lang")["n"].sum().sort_values(ascending=False)
-    langs = tuple(sorted(totals.index[:MOST_LANGUAGES]))
+    langs = tuple(sorted(totals.index))
     at = {x: i for i, x in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = [{}, {}]
     floor = np.zeros(len(langs))
