@@ -1,22 +1,31 @@
-"""What the training-data operators share: tables, folds, batches and shared storage."""
+"""What the training-data operators share: tables, folds, hot keys and shared storage."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows and bytes of text that one Arrow batch hands to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+#: Most keys that can count as hot: each holds over this part of the rows, so that there are no more of them.
+MOST_HOT, LEAST_HOT = 10_000, 1_000
+
+_made = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows and bytes of text that one Arrow batch hands to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+
+
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small, as single texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -41,6 +50,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/loomdoc-{tag}-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
+    if open_ := getattr(_made, "stack", None):
+        open_[-1].append(path)
     return path
 
 
@@ -57,7 +68,47 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is settled inside is removed on leaving, but for the frames that are given to ``keep``; a tidy around this one sees to those."""
+    stack = _made.__dict__.setdefault("stack", [])
+    stack.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._settled_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in stack.pop():
+            if path not in kept:
+                drop_path(spark, path)
+            elif stack:
+                stack[-1].append(path)
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """(key, _parts) of the keys of which each holds over a MOST_HOT-th of ``total`` rows; there are MOST_HOT of them at most. None if there is none."""
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot = settle(counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_parts")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """many joined with one (a row for each key) by key. Rows of a hot key are dealt by a hash of ``by`` over its parts, each of which gets a copy of the one row."""
+    if hot is None:
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    dealt = many.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copied = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
 def fold(doc_id: Column, mod: int) -> Column:
@@ -74,7 +125,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
     """(text, label 0 or 1) of the labelled rows outside the held-out fold.
 
     About ``most`` rows at most, the same ones in each run, are kept: the bounded sample
-    that classifiers are fitted on. Several labels of one document are averaged; null ids,
+    that classifiers are fitted on, written once so that documents are read once. Several labels of one document are averaged; null ids,
     labels and texts teach nothing.
     """
     by = (
@@ -88,4 +139,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
     if n > most:
         by = by.where(share(F.col("_id")) < most / n)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(by), "_id").select("text", "label")  # about ``most`` ids and labels at most
+    return settle(texts.join(F.broadcast(by), "_id").select("text", "label"), "labelled")  # about ``most`` ids and labels at most
