@@ -4,7 +4,8 @@ A text is the set of the hashed features of its words: the word, its beginnings
 inner character n-grams. A logistic model with non-negative, sparse weights learns which
 of them mark toxic documents. Labelled sentences that name a group are repeated with the
 group term swapped for the others of its kind, and the squared change of the score is
-penalised, so that group terms as such carry no weight.
+penalised, so that group terms as such carry no weight. All labelled sentences of the
+sample are swapped; each distinct change of features counts once.
 
 Defined cases: null text counts as empty text and gets the model's base score; with no
 label, or labels of one kind only, every score is a constant just below 0.5, so that
@@ -25,15 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import bound_batches, fold, labelled, settle, table
+from loomdoc.llm.common import fold, labelled, settle, table, tidy
 
-#: At most about so many labelled rows, features and swapped sentences are learned from.
-MOST_ROWS, MOST_FEATURES, MOST_SWAPS = 12_000, 8_192, 4_096
+#: At most about so many labelled rows are learned from, and so many features are kept.
+MOST_ROWS, MOST_FEATURES = 12_000, 8_192
 #: Words kept with their features by a worker, before it starts anew.
 MOST_CACHED = 500_000
 ACCEPT, MOD, HELD = 0.5, 5, 0
-#: The penalty on weights, against a loss in which either class weighs one half.
-L1 = 4e-3
+#: The penalties on weights and on changes by swaps, against a loss in which either class weighs one half.
+L1, SWAP = 4e-3, 10.0
 
 #: Terms of groups; those of one line are swapped for each other.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -106,18 +107,20 @@ class ToxicityModel:
     base: float = -1e-9
 
     def scorer(self):
-        at = {h: i for i, h in enumerate(self.weights)}
-        by, known = np.array([*self.weights.values(), 0.0]), Features(at)
+        """Scores of a batch of texts."""
+        known = Features({h: i for i, h in enumerate(self.weights)})
+        by = np.array([*self.weights.values(), 0.0])
 
-        def score(text: str | None) -> float:
-            found = known.of(text) if text else ()
-            z = self.base + by[sorted(found)].sum() if found else self.base
-            return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        def score(texts: list[str | None]) -> np.ndarray:
+            found = [sorted(known.of(t)) if t else () for t in texts]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            z = self.base + np.bincount(row, by[[i for x in found for i in x] or np.zeros(0, int)], len(found))
+            return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
         return score
 
 
-def fit_sparse(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int], list[int]]], n: int, l1: float = L1, swap: float = 10.0, steps: int = 800) -> tuple[np.ndarray, float]:
+def fit_sparse(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int], list[int]]], n: int, l1: float = L1, swap: float = SWAP, steps: int = 800) -> tuple[np.ndarray, float]:
     """Non-negative weights and a base that minimise class-balanced logistic loss + l1 |w| + swap mean((w delta)^2), by accelerated proximal steps."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.array([c for r in rows for c in r], int)
@@ -161,11 +164,14 @@ def fit_sparse(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int
     return w, base
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_ROWS) -> ToxicityModel:
-    """Learn from the labelled documents outside the held-out fold."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = labelled(docs, labels, label, MOD, HELD, most)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_ROWS, swap: float = SWAP) -> ToxicityModel:
+    """Learn from the labelled documents outside the held-out fold; ``swap`` weighs the counterfactual penalty."""
+    with tidy(docs.sparkSession):
+        return _fitted(labelled(docs, labels, label, MOD, HELD, most), swap)
+
+
+def _fitted(rows: DataFrame, swap: float) -> ToxicityModel:
+    spark = rows.sparkSession
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Features()
@@ -207,19 +213,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
                         out.append((-1, sorted(x - z), sorted(z - x)))
             yield pd.DataFrame(out, columns=["label", "a", "b"])
 
-    made = rows.mapInPandas(chosen_of, "label int, a array<int>, b array<int>")
-    got = sorted((r.label, list(r.a), list(r.b or [])) for r in [*made.where("label >= 0").collect(), *made.where("label < 0").distinct().orderBy(F.xxhash64("a", "b")).limit(MOST_SWAPS).collect()])
-    train, deltas = [(y, x) for y, x, _ in got if y >= 0], [(x, z) for y, x, z in got if y < 0]
+    made = settle(rows.mapInPandas(chosen_of, "label int, a array<int>, b array<int>"), "made")
+    train = sorted((r.label, list(r.a)) for r in made.where("label >= 0").collect())  # a row for each of the sample
+    deltas = sorted((list(r.a), list(r.b)) for r in made.where("label < 0").select("a", "b").distinct().collect())
     known = Features(among.value)
     for group in IDENTITY_TERMS:  # the bare terms too, so that those which no labelled sentence holds weigh the same
         deltas += [(sorted(x - z), sorted(z - x)) for s, o in zip(group, group[1:], strict=False) if (x := known.of(s)) != (z := known.of(o))]
     y = np.array([y for y, _ in train], float)
-    w, base = fit_sparse([x for _, x in train], y, deltas, len(chosen))
+    w, base = fit_sparse([x for _, x in train], y, deltas, len(chosen), swap=swap)
     # The penalty that chooses features also holds their weights down; those chosen are fitted again with little of it.
     kept = {int(i): j for j, i in enumerate(np.flatnonzero(w > 0))}
     if kept:
         only = lambda x: [kept[i] for i in x if i in kept]
-        again, base = fit_sparse([only(x) for _, x in train], y, [(only(a), only(b)) for a, b in deltas], len(kept), l1=L1 / 20)
+        again, base = fit_sparse([only(x) for _, x in train], y, [(only(a), only(b)) for a, b in deltas], len(kept), l1=L1 / 20, swap=swap)
         w = np.zeros(len(chosen))
         w[list(kept)] = again
     return ToxicityModel({h: float(w[i]) for h, i in among.value.items() if w[i] > 0}, base)
@@ -227,14 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
 
 def score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
     """The score of each text as a column."""
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = shared.value.scorer()
         for t in texts:
-            yield pd.Series([of(v if isinstance(v, str) else None) for v in t], dtype=float)
+            yield pd.Series(of([v if isinstance(v, str) else None for v in t]), dtype=float)
 
     return scored(text.cast("string"))
 
