@@ -5,10 +5,15 @@ is read piece by piece: at each position the longest known n-gram counts, from
 ``ORDER`` characters down to one. The language with the highest mean wins; the score is
 its share of the softmax over the languages.
 
-Defined cases: null text and text without a letter get ``und`` with score 0; rows whose
-lang is null teach nothing; with nothing to learn from, every text gets ``und`` with score
-0; of equal languages the first by code point wins; repeated rows get equal predictions;
-other columns are neither read nor changed.
+A frequency is (n + 1/2) / sum; so an item's log frequency in a language is that of an item
+never seen there plus log(2 n + 1), and only the languages that have the item are kept with
+it. All words and n-grams of the sample are known: the sample's rows are the only bound.
+
+Defined cases: null text and text without a letter (Unicode category L) get ``und`` with
+score 0; rows whose lang is null teach nothing; with nothing to learn from, every text gets
+``und`` with score 0; of equal languages the first by code point wins; repeated rows get
+equal predictions; other columns are neither read nor changed. Languages are names, few
+enough for the driver.
 """
 
 from __future__ import annotations
@@ -20,20 +25,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import bound_batches, fold, settle, share, table
+from loomdoc.llm.common import fold, settle, share, table, tidy
 
-#: At most about so many documents are learned from; each language keeps so many words and n-grams.
-MOST_ROWS, MOST_WORDS, MOST_GRAMS, ORDER = 20_000, 20_000, 20_000, 4
-#: More languages than this are not learned: the most frequent ones stay.
-MOST_LANGUAGES = 400
-MOST_CACHED = 500_000
+#: At most about so many documents are learned from, but about LEAST_EACH of each language; n-grams have up to ORDER characters.
+MOST_ROWS, LEAST_EACH, ORDER = 20_000, 20, 4
+MOST_CACHED = 200_000
 MOD, HELD = 4, 2
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> Counter:
+    """The runs of letters of a text, in lower case. Python's word characters also hold numbers such as fractions, which are no letters."""
+    found = Counter(_WORD.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in _LETTERS.findall(w):
+            found[part] += n
+    return found
 
 
 def grams(word: str) -> Iterator[str]:
@@ -44,63 +59,87 @@ def grams(word: str) -> Iterator[str]:
             yield w[i : i + n]
 
 
+Sparse = tuple[np.ndarray, np.ndarray]  # languages, and what each adds
+
+
 @dataclass(frozen=True)
-class LanguageModel:
-    """log frequencies by language of each known word and n-gram, and of an unknown character."""
+class Items:
+    """What each known item adds in the languages that have it (rows of one sparse matrix), and the log frequency in each language of an item it lacks."""
+
+    rows: dict[str, int]
+    starts: np.ndarray
+    at: np.ndarray
+    add: np.ndarray
+    lacking: np.ndarray
+
+    def get(self, item: str) -> Sparse | None:
+        if (i := self.rows.get(item)) is None:
+            return None
+        a, b = self.starts[i], self.starts[i + 1]
+        return self.at[a:b], self.add[a:b]
 
+
+@dataclass(frozen=True)
+class LanguageModel:
     langs: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
+    words: Items
+    grams: Items
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest known n-grams that read the word from left to right."""
-        w, i, total, n = f" {word} ", 0, np.zeros(len(self.langs)), 0
+    def backoff(self, word: str) -> Sparse:
+        """The mean over the longest known n-grams that read the word from left to right."""
+        w, i, n, found = f" {word} ", 0, 0, []
         while i < len(w):
             for k in range(min(ORDER, len(w) - i), 0, -1):
                 if (v := self.grams.get(w[i : i + k])) is not None:
+                    found.append(v)
                     break
             else:
-                k, v = 1, self.floor
-            total, n, i = total + v, n + 1, i + k
-        return total / max(1, n)
+                k = 1
+            n, i = n + 1, i + k
+        return _joined(found, np.full(len(found), 1 / n))
 
     def predictor(self):
-        known: dict[str, int] = {}
-        rows = np.zeros((1024, len(self.langs)))
+        known: dict[str, tuple[Sparse, bool]] = {}
 
         def predict(text: str | None) -> tuple[str, float]:
-            nonlocal rows
-            found = _WORD.findall(text.lower()) if text and self.langs else []
-            if not found:
+            counts = words_of(text) if text and self.langs else Counter()
+            if not counts:
                 return UNKNOWN, 0.0
             if len(known) > MOST_CACHED:
                 known.clear()
-            counts = Counter(found)
-            at = np.empty(len(counts), int)
-            for i, w in enumerate(counts):
-                if (j := known.get(w)) is None:
-                    known[w] = j = len(known)
-                    if j >= len(rows):
-                        rows = np.concatenate([rows, np.zeros_like(rows)])
+            parts, whole = [], 0
+            for w, n in counts.items():
+                if (x := known.get(w)) is None:
                     v = self.words.get(w)
-                    rows[j] = self.backoff(w) if v is None else v
-                at[i] = j
-            n = np.fromiter(counts.values(), float, len(counts))
-            mean = n @ rows[at] / n.sum()
+                    known[w] = x = (self.backoff(w), False) if v is None else (v, True)
+                parts.append(x[0])
+                whole += n if x[1] else 0
+            n, total = np.fromiter(counts.values(), float, len(counts)), sum(counts.values())
+            at, add = _joined(parts, n)
+            mean = (np.bincount(at, add, len(self.langs)) + whole * self.words.lacking + (total - whole) * self.grams.lacking) / total
             best = int(np.argmax(mean))
-            z = np.exp((mean - mean[best]) * min(n.sum(), 50))
+            z = np.exp((mean - mean[best]) * min(total, 50))
             return self.langs[best], float(1 / z.sum())
 
         return predict
 
 
+def _joined(parts: list[Sparse], weights: np.ndarray) -> Sparse:
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) * np.repeat(weights, [len(p[0]) for p in parts])
+
+
 def fit(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
     """Learn from text and lang of documents outside the held-out fold: about ``most`` of them, an equal share of each language as far as it has so many, the same in each run."""
+    with tidy(docs.sparkSession):
+        return _fitted(docs, most)
+
+
+def _fitted(docs: DataFrame, most: int) -> LanguageModel:
     spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), MOD) != HELD))
-    sizes = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    lang, open_ = F.col("lang").cast("string"), F.col("lang").isNotNull() & (fold(F.col("doc_id"), MOD) != HELD)
+    sizes = [(r.lang, r["count"]) for r in docs.where(open_).groupBy(lang.alias("lang")).count().collect()]
     each, left = float(most), most
     for i, (_, c) in enumerate(sorted(sizes, key=lambda x: x[1])):  # small languages whole; what they leave of their share goes to the others
         each = left / (len(sizes) - i)
@@ -109,57 +148,41 @@ def fit(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
         left -= c
     else:
         each = float(most)
-    parts = F.broadcast(spark.createDataFrame([(lang, min(1.0, each / c)) for lang, c in sizes], "lang string, part double"))
-    mine = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), MOD) != HELD))
-    mine = mine.join(parts, "lang").where((F.col("part") >= 1) | (share(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("part")))
+    parts = F.broadcast(spark.createDataFrame([(x, min(1.0, max(each, LEAST_EACH) / c)) for x, c in sizes], "lang string, part double"))
+    mine = docs.where(open_).select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text")).join(parts, "lang")
+    mine = mine.where((F.col("part") >= 1) | (share(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("part")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words: dict[str, Counter] = {}
-            for text, lang in zip(b["text"], b["lang"], strict=True):
-                own = words.setdefault(lang, Counter())
-                if isinstance(text, str):
-                    own.update(_WORD.findall(text.lower()))
+            for text, own in zip(b["text"], b["lang"], strict=True):
+                words.setdefault(own, Counter()).update(words_of(text) if isinstance(text, str) else ())
             out = []
-            for lang, own in words.items():
+            for own, found in words.items():
                 pieces: Counter = Counter()
-                for w, c in own.items():
+                for w, c in found.items():
                     for g in grams(w):
                         pieces[g] += c
-                out += [(lang, 0, w, c) for w, c in own.items()] + [(lang, 1, g, c) for g, c in pieces.items()]
+                out += [(own, 0, w, c) for w, c in found.items()] + [(own, 1, g, c) for g, c in pieces.items()]
             yield pd.DataFrame(out, columns=["lang", "kind", "item", "n"])
 
-    counts = settle(
-        mine.select("text", "lang").mapInPandas(counted, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "langid"
-    ).where("n >= 2")  # seen once: left to the backoff
-    # The lowest count that keeps a language's table within its bound, from the histogram of its counts.
-    sizes = counts.groupBy("lang", "kind", "n").count().orderBy("lang", "kind", F.desc("n")).toPandas()
-    sizes["kept"] = sizes.groupby(["lang", "kind"])["count"].cumsum()
-    sizes = sizes[sizes["kept"] <= np.where(sizes["kind"] == 0, MOST_WORDS, MOST_GRAMS)]
-    least = sizes.groupby(["lang", "kind"], as_index=False)["n"].min().values.tolist()
-    cuts = F.broadcast(spark.createDataFrame([(a, int(b), int(c)) for a, b, c in least], "lang string, kind int, least long"))
-    got = counts.join(cuts, ["lang", "kind"]).where("n >= least").select("lang", "kind", "item", "n").toPandas()
-    totals = got.groupby("lang")["n"].sum().sort_values(ascending=False)
-    langs = tuple(sorted(totals.index))
+    counts = mine.select("text", "lang").mapInPandas(counted, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    got = settle(counts, "langid").toPandas()
+    langs = tuple(sorted(got["lang"].unique()))
     at = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{}, {}]
-    floor = np.zeros(len(langs))
+    tables = []
     for kind in (0, 1):
-        part = got[(got["kind"] == kind) & got["lang"].isin(at)]
-        sums = np.zeros(len(langs))
-        for lang, item, n in zip(part["lang"], part["item"], part["n"], strict=True):
-            tables[kind].setdefault(item, np.zeros(len(langs)))[at[lang]] = n
-            sums[at[lang]] += n
-        low = sums + 0.5 * (len(tables[kind]) + 1)
-        for item, n in tables[kind].items():
-            tables[kind][item] = np.log((n + 0.5) / low)
-        floor = np.log(0.5 / low) if len(langs) else floor
-    return LanguageModel(langs, tables[0], tables[1], floor)
+        part = got[got["kind"] == kind]
+        part = part.assign(at=part["lang"].map(at).astype(np.int32)).sort_values(["item", "at"])
+        items, starts = np.unique(part["item"].to_numpy(object), return_index=True)
+        own, n = part["at"].to_numpy(np.int32), part["n"].to_numpy(float)
+        lacking = np.log(0.5 / (np.bincount(own, n, len(langs)) + 0.5 * (len(items) + 1))) if langs else np.zeros(0)
+        tables.append(Items({x: i for i, x in enumerate(items)}, np.append(starts, len(part)).astype(np.int64), own, np.log(2 * n + 1), lacking))
+    return LanguageModel(langs, *tables)
 
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """struct<lang_pred, score> of each text."""
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
