@@ -7,7 +7,6 @@ from loomdoc.llm import chat, decontam, langid, licenses, mixing, neardup, quali
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_licenses": licenses.op2_licenses,
-    "op2_passages": licenses.op2_passages,
     "op3_decontam": decontam.op3_decontam,
     "op4_neardup": neardup.op4_neardup,
     "op5_quality": quality.op5_quality,

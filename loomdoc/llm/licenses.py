@@ -1,7 +1,7 @@
 r"""Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Texts are lower-cased, everything but letters and digits separates words. Units of a text
-are its lines and the whole text. A unit of n distinct bigrams is held against a template
+are its lines, the whole text and its passages (below). A unit of n distinct bigrams is held against a template
 of m only if 2 min(n, m) / (n + m) reaches the threshold; then their Dice coefficient is
 taken. To be near enough, a unit must hold over half of a template's bigrams, so it must
 hold one of a fixed part of them (its anchors): documents without any anchor are left out
@@ -213,23 +213,22 @@ def passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold
     )
 
 
-def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices within lines and over several lines; the SQL of op2_licenses knows lines and whole texts only."""
-    return passages(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
-
-
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "unit", "unit_no", "copies", "template", F.round("dice", 9).alias("dice"), "n_bigrams")
+    """Lines and whole texts that match, and passages, of which unit_no is the first word."""
+    docs = table(spark, sf_dir, "documents")
+    units = scan(docs).select("doc_id", "unit", "unit_no", "copies", "template", "dice", "n_bigrams")
+    runs = passages(docs).select("doc_id", F.lit("passage").alias("unit"), F.col("first_word").alias("unit_no"), F.lit(1).cast("long").alias("copies"), "template", "dice", "n_bigrams")
+    return units.unionByName(runs).withColumn("dice", F.round("dice", 9))
 
 
 def _oracle() -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
     grams = r"list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     words = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    dice = f"{THRESHOLD}::double"
     return f"""
 with templates(name, body) as (values {rows}),
-t as (select name, {grams} as h from (select name, {words.format("body")} as w from templates)),
+t as (select name, {grams} as h, len(w) as words from (select name, {words.format("body")} as w from templates)),
 units as (
     select doc_id, 'line' as unit, unnest(range(1, len(l) + 1)) as unit_no, unnest(l) as body from (select doc_id, string_split(text, chr(10)) as l from documents)
     union all select doc_id, 'text', 1, text from documents where contains(text, chr(10))),
@@ -237,9 +236,26 @@ u as (select doc_id, unit, unit_no, body, {grams} as h from (select *, {words.fo
 hits as (
     select u.*, name, len(u.h) as n, 2.0 * len(list_intersect(u.h, t.h)) / (len(u.h) + len(t.h)) as dice
     from u join t on 2.0 * least(len(u.h), len(t.h)) >= {THRESHOLD} * (len(u.h) + len(t.h)) and 2.0 * len(list_intersect(u.h, t.h)) >= {THRESHOLD} * (len(u.h) + len(t.h))),
-best as (select *, row_number() over (partition by doc_id, unit, unit_no order by dice desc, name) as r from hits)
+best as (select *, row_number() over (partition by doc_id, unit, unit_no order by dice desc, name) as r from hits),
+sized as (select name, h, len(h) as m, ceil({dice} / (2 - {dice}) * len(h) - 1e-9)::bigint as least, floor((2 - {dice}) / {dice} * (words - 1) + 1e-9)::bigint as span from t),
+texts as (select row_number() over () as r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as h from (select doc_id, {words.format("text")} as w from documents where text is not null)),
+marks as (select r, name, i, least, span from (select r, unnest(h) as g, generate_subscripts(h, 1) as i from texts) join (select name, least, span, unnest(h) as g from sized) using (g)),
+placed as (select *, row_number() over (partition by r, name order by i) as j from marks),
+starts as (select * from (select *, lead(i, (least - 1)::int) over (partition by r, name order by i) as reach from placed) where reach - i < span),
+runs as (
+    select s.r, s.name, s.i as a, e.i as b, list_distinct(list_slice(x.h, s.i, e.i)) as g
+    from starts s join placed e on s.r = e.r and s.name = e.name and e.j >= s.j + s.least - 1 and e.i - s.i < s.span join texts x on x.r = s.r),
+scored as (
+    select r, {{'less': -2.0::double * c / (n + m), 'fewer': -n, 'name': name, 'start': a - 1, 'stop': b}} as x
+    from (select r, name, a, b, m, len(g) as n, len(list_intersect(g, sized.h)) as c from runs join sized using (name)) where 2.0::double * c >= {dice} * (n + m)),
+near as (select r, min(x) as x from scored group by r, x.name, x.start),
+apart as (
+    select r, list_reduce(list([x] order by x), lambda kept, y: case when len(list_filter(kept, lambda k: k.start <= y[1].stop and y[1].start <= k.stop)) > 0 then kept else list_concat(kept, y) end) as kept
+    from near group by r)
 select doc_id, unit, min(unit_no)::bigint as unit_no, count(*)::bigint as copies, min(name) as template, round(min(dice), 9)::double as dice, min(n)::bigint as n_bigrams
 from best where r = 1 group by doc_id, unit, body
+union all
+select doc_id, 'passage', (x.start + 1)::bigint, 1::bigint, x.name, round(-x.less, 9)::double, (-x.fewer)::bigint from (select doc_id, unnest(kept) as x from apart join texts using (r))
 """
 
 
