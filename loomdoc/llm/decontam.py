@@ -19,8 +19,8 @@ The benchmark's seeds are broadcast in parts of about ``MOST_SEEDS``, counted be
 larger benchmark takes more passes over the documents. The alignments found are broadcast
 up to a counted ``MOST_HITS``, beyond that they are joined by a shuffle.
 
-Defined cases: null and empty texts overlap nothing; items of under ``SHORTEST`` words are
-no evidence and are not searched; rows and items with equal ids are one document and one item, which overlap if any of
+Defined cases: null and empty texts overlap nothing; items of under ``shortest`` words (a
+parameter; 1 searches all) are no evidence and are not searched; rows and items with equal ids are one document and one item, which overlap if any of
 their texts do; a null id is an id of its own; empty tables give no rows; other columns are
 not read.
 """
@@ -34,7 +34,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import settle, table
+from loomdoc.llm.common import settle, table, tidy
 
 #: Positions that count: together these two meet every pair of substitutions in 13 places.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -87,10 +87,10 @@ def _variants(spans: list[int], masks: tuple[tuple[int, ...], ...], window: int,
     return [(kinds[m], m, n, at) for m, n, at in out]
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, least: float = LEAST, whole_below: int = 0) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, least: float = LEAST, whole_below: int = 0, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, matched and compared (words of the best run) of each overlap. Items of under ``whole_below`` words are searched by all their words."""
-    known = items.select("item_id", words_of(F.col("text")).alias("w")).where(f"size(w) >= {SHORTEST}")
-    short = sorted(r[0] for r in known.where(f"size(w) < {window}").select(F.size("w")).distinct().collect())  # SHORTEST to window: a few numbers
+    known = items.select("item_id", words_of(F.col("text")).alias("w")).where(f"size(w) >= {shortest} and w[0] != ''")
+    short = sorted(r[0] for r in known.where(f"size(w) < {window}").select(F.size("w")).distinct().collect())  # up to the window: a few numbers
     variants = _variants(short, masks, window, least, whole_below)
     full = max(m[-1] for _, m, _, _ in variants) + 1
     of_item = ", ".join(
@@ -125,7 +125,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ..
 def drop_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents whose own text overlaps no item, with all their columns. Rows are told apart by id and a hash of the text, so that others with the same id, or with none, stay."""
     row = F.concat(F.coalesce(F.concat(F.lit("="), docs["doc_id"].cast("string")), F.lit("")), F.lit(":"), F.xxhash64(docs["text"].cast("string")).cast("string"))
-    leaks = settle(overlaps(docs.select(row.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    with tidy(docs.sparkSession) as keep:
+        leaks = keep(settle(overlaps(docs.select(row.alias("doc_id"), "text"), items, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks"))
     return docs.join(leaks, row == leaks["_leak"], "left_anti")
 
 
