@@ -4,7 +4,9 @@ An archive starts with a skippable frame that holds the dictionary; each record
 frame of its own, made with it. Archives are written as values of Spark's text sink, one to
 a file and about ``ARCHIVE_BYTES`` long: the line end that the sink adds is an empty
 skippable frame, so each file is a plain sequence of frames, goes to any file system that
-Spark knows, and is committed with the job. The reader walks the frames by their headers,
+Spark knows, and is committed with the job. The binary value becomes a string without any
+change of its bytes: Spark's strings are byte arrays, casts between the two share them, and
+the text sink writes them as they are, valid UTF-8 or not. The reader walks the frames by their headers,
 takes the dictionary from the first, decodes record by record and validates version,
 headers, lengths and digests.
 
@@ -29,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import bound_batches, scratch, settle, share, table
+from loomdoc.llm.common import LEAST_HOT, MOST_HOT, scratch, settle, share, table, tidy
 
 #: Bytes of an archive before it is closed (one record more at most).
 ARCHIVE_BYTES = 8 << 20
-#: The dictionary's bytes, and the pages (and bytes of each) that it is trained on at most.
-DICTIONARY_BYTES, MOST_SAMPLES, SAMPLE_BYTES = 32 << 10, 400, 16 << 10
+#: The dictionary's bytes, and the whole payloads, and bytes of them together, that it is trained on at most; only compression depends on them.
+DICTIONARY_BYTES, MOST_SAMPLES, SAMPLE_BYTES = 32 << 10, 400, 8 << 20
 #: Rows (about 60 bytes each) of repeated payloads that are broadcast; more go through a join.
 MOST_COPIES = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -51,9 +53,14 @@ class ArchiveError(ValueError):
 def train(pages: DataFrame) -> bytes:
     """A dictionary of a bounded sample of payloads; raw bytes if they are too few to train on."""
     n = pages.count()
-    some = pages.where(share(F.col("page_id").cast("string")) < MOST_SAMPLES / max(1, n)) if n > MOST_SAMPLES else pages
-    rows = some.select(F.substring(F.col("html").cast("string").cast("binary"), 1, SAMPLE_BYTES).alias("b")).where("length(b) > 0").orderBy(F.xxhash64("b")).limit(MOST_SAMPLES).collect()
-    samples = [bytes(r.b) for r in rows]
+    some = pages.where(share(F.col("page_id").cast("string")) < 2 * MOST_SAMPLES / max(1, n)) if n > 2 * MOST_SAMPLES else pages
+    some = some.select(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("b")).select("b", F.sha1("b").alias("h"), F.length("b").alias("n")).where("n > 0")
+    sizes = some.select("h", "n").distinct().orderBy("h").limit(MOST_SAMPLES).collect()
+    chosen, left = [], SAMPLE_BYTES
+    for r in sizes:
+        if r.n <= left:
+            chosen, left = [*chosen, r.h], left - r.n
+    samples = [bytes(r.b) for r in some.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).orderBy("h").collect()] if chosen else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -179,16 +186,32 @@ def read_record(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write page_id, url, html as archives below ``path``."""
+    """Write page_id, url, html as archives below ``path``.
+
+    Groups of equal payloads go to the pages by broadcast: all of them up to MOST_COPIES, and
+    always those that hold over a MOST_HOT-th of the pages. Only beyond that are payloads
+    shuffled, and then without any key that holds more than such a part.
+    """
+    with tidy(pages.sparkSession):
+        _write(pages, path, least)
+
+
+def _write(pages: DataFrame, path: str, least: int) -> None:
     spark = pages.sparkSession
-    bound_batches(spark)
     dictionary = spark.sparkContext.broadcast(train(pages))
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    groups = rows.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    groups = rows.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = settle(groups, "copies")
-    joined = rows.join(F.broadcast(groups) if groups.count() <= MOST_COPIES else groups, "sha1", "left")
+    if groups.count() <= MOST_COPIES:
+        joined = rows.join(F.broadcast(groups.drop("n")), "sha1", "left")
+    else:
+        limit = max(LEAST_HOT, pages.count() // MOST_HOT)
+        hot = F.broadcast(groups.where(F.col("n") > limit).select("sha1", F.col("first").alias("_hot"), F.lit(True).alias("_is_hot")))  # MOST_HOT rows at most
+        joined = rows.join(hot, "sha1", "left")
+        others = joined.where("_is_hot is null").join(groups.where(F.col("n") <= limit).drop("n"), "sha1", "left")
+        joined = joined.where("_is_hot").withColumn("first", F.col("_hot")).unionByName(others)
     joined = joined.selectExpr("page_id", "url", "first", "first is not null and not (first <=> page_id) as again", "length(payload) as size", "sha1", "payload")
 
     def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,8 +236,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, url, payload (only if asked for), payload_bytes, payload_digest, record_type, refers_to of each record."""
-    bound_batches(spark, 8)
+    """page_id, url, payload (only if asked for), payload_bytes, payload_digest, record_type, refers_to of each record. Archives come to Python by Arrow's own bound of bytes."""
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
