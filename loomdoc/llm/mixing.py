@@ -1,10 +1,12 @@
 """Mixing sources to target weights by hash-random order, prefix sums and an exact cut.
 
-Every row gets a hash-random key. Within a source the keys are split into equal ranges;
-sizes are summed within each range in key order, and the ranges' own sums are summed along
-the ranges, so that no task holds a source. A source whose target is a times its size takes
-each document floor(a) times in whole epochs, then follows the key order until its budget
-is met to the word, which cuts one document at most.
+Every row gets a hash-random key. Within a source the keys are split into equal ranges; the
+ranges' sums are summed along the ranges, and in the one range where the budget ends, sizes
+are summed in key order, rows alike in key, id and size being one entry with their number.
+So no task holds a source, and what comes out is one cut for each source. A source whose
+target is a times its size takes each document floor(a) times in whole epochs, then all
+before the cut; the cut falls within one document at most, so that budgets are met to the
+word. Documents are only held against the cut of their source: texts are never shuffled.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn and share the total;
 a target stops at ``cap`` times its source's size, and the excess is shared by weight until
@@ -13,7 +15,8 @@ from running sums.
 
 Defined cases: null text and text without a word have size 0 and take 0; a null source is a
 source of its own, and last; null ids count as empty text in the key; rows with equal ids
-follow each other by size, and each counts; an empty table gives an empty mix. Columns of
+follow each other by size, and each counts; those alike in id and size, if the cut falls
+among them, are numbered as they lie in the table; an empty table gives an empty mix. Columns of
 the input are kept by ``mix``; where a new name is taken, the new column gets a trailing
 underscore.
 """
@@ -25,10 +28,12 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import settle, table
+from loomdoc.llm.common import hot_keys, join_spread, settle, table, tidy
 
 WEIGHTS, CAP, SHARE, SEED = (5, 2, 1), 3, 1.0, "mix"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources whose cuts (about 100 bytes each) are broadcast; more go through a join.
+MOST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -36,23 +41,22 @@ def size_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, ranges: int, seed: str, **more: Column) -> DataFrame:
-    """(id, source, size, key, range) of each row; the ranges cut the keys' space evenly."""
+    """(id, source and its name as one value, size, key, range) of each row; the ranges cut the keys' space evenly."""
     key = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).cast("binary"))
     part = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges)
     source = docs["source"].cast("string")
     rows = docs.select(
-        docs["doc_id"].alias("_id"), source.isNull().alias("_none"), F.coalesce(source, F.lit("")).alias("_source"), size_of(docs["text"]).alias("_size"), key.alias("_key"), part.alias("_range"), *(c.alias(k) for k, c in more.items())
+        docs["doc_id"].alias("_id"), source.isNull().alias("_none"), F.coalesce(source, F.lit("")).alias("_source"), F.coalesce(F.concat(F.lit("+"), source), F.lit("")).alias("_from"), size_of(docs["text"]).alias("_size"), key.alias("_key"), part.alias("_range"), *(c.alias(k) for k, c in more.items())
     )
     return rows
 
 
 def budgets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, share: float = SHARE) -> DataFrame:
-    """For each source and range: the words before it, and the source's size, target and budget."""
-    rows.createOrReplaceTempView("_mix_rows")
+    """For each source and range: the words of the range and before it, and the source's size, target and budget."""
     turn = " ".join(f"when {i} then {w}" for i, w in enumerate(weights))
     return rows.sparkSession.sql(
         f"""
-        with ranges as (select _none, _source, _range, sum(_size) as words from _mix_rows group by all),
+        with ranges as (select _none, _source, _from, _range, sum(_size) as words from {{mixed}} group by all),
         sources as (select _none, _source, sum(words) as source_size from ranges group by all),
         weighed as (
             select *, case pmod(row_number() over (order by _none, _source) - 1, {len(weights)}) {turn} end as weight,
@@ -68,27 +72,48 @@ def budgets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
             select _none, _source, source_size, least(cast({cap} * source_size as double),
                    coalesce(max(case when ratio = first_free then level end) over (), {cap * 1.0}D * total) * weight) as target
             from levelled)
-        select r._none, r._source, r._range, t.source_size, t.target, cast(floor(t.target + 0.5D) as bigint) as budget,
+        select r._from, r._range, r.words, t.source_size, t.target, cast(floor(t.target + 0.5D) as bigint) as budget,
                sum(r.words) over (partition by r._none, r._source order by r._range) - r.words as before
         from ranges r join targets t on r._none = t._none and r._source = t._source
-        """
+        """,
+        mixed=rows,
     )
 
 
-def cut(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with source_size, target and taken: whole epochs, then the exact rest in key order."""
-    plan = plan.select(*(F.col(c).alias(f"{c}_p") for c in ("_none", "_source", "_range")), "source_size", "target", "budget", "before")
-    held = rows.selectExpr(
-        "*", "sum(_size) over (partition by _none, _source, _range order by _key, _id, _size rows between unbounded preceding and current row) - _size as _within"
-    )
-    joined = held.join(plan, (F.col("_none") == F.col("_none_p")) & (F.col("_source") == F.col("_source_p")) & (F.col("_range") == F.col("_range_p")))
-    return joined.withColumn(
-        "taken",
-        F.expr(
-            "case when source_size = 0 then 0L else (budget div source_size) * _size"
-            " + greatest(0L, least(_size, budget % source_size - before - _within)) end"
-        ),
-    )
+def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """For each source: its size and target, whole epochs, and the cut: a row's key, id and size, how many rows are alike in these, and how many words of them are taken."""
+    plan = settle(plan, "plan")
+    sources = plan.groupBy("_from").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("budget").alias("budget"))
+    sources = settle(sources.selectExpr("_from", "source_size", "target", "if(source_size > 0, budget div source_size, 0L) as epochs", "if(source_size > 0, budget % source_size, 0L) as rest"), "sources")
+    ends = plan.where("source_size > 0 and budget % source_size >= before and budget % source_size < before + words").selectExpr("_from", "_range", "budget % source_size - before as rest")
+    few = sources.count() <= MOST_SOURCES
+    here = rows.join(F.broadcast(ends) if few else ends, ["_from", "_range"]).groupBy("_from", "rest", "_key", "_id", "_size").agg(F.count("*").alias("n"))
+    summed = here.selectExpr("*", "sum(n * _size) over (partition by _from order by _key, _id, _size rows between unbounded preceding and current row) - n * _size as _before")
+    cut = summed.where("rest >= _before and rest < _before + n * _size").selectExpr("_from", "struct(_key, _id, _size) as cut", "n as alike", "rest - _before as left")
+    return settle(sources.join(cut, "_from", "left").drop("rest"), "cuts")
+
+
+def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """rows with source_size, target and taken."""
+    here = F.struct("_key", "_id", "_size")
+    if (n := cut.count()) <= MOST_SOURCES:
+        joined = rows.join(F.broadcast(cut), "_from")
+    else:
+        sizes = rows.groupBy("_from").count()
+        joined = join_spread(rows, cut, "_from", "_key", hot_keys(sizes, "_from", "count", rows.count()))
+    at = F.coalesce(here == F.col("cut"), F.lit(False))
+    part = F.when(at, F.least("_size", "left")).when(here < F.col("cut"), F.col("_size")).otherwise(0)
+    done = lambda d, part: d.withColumn("taken", F.col("epochs") * F.col("_size") + part)
+    if not n or cut.where("alike > 1").isEmpty():
+        return done(joined, part)
+    # The cut falls among rows that are alike: written with a place, they are numbered within their task's rows, of which the counts are summed up.
+    several = at & (F.col("alike") > 1)
+    tied = settle(joined.where(several).withColumns({"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "tied")
+    tasks = tied.groupBy("_from", "_task").agg(F.count("*").alias("_n"))
+    tasks = tasks.selectExpr("_from", "_task", "sum(_n) over (partition by _from order by _task) - _n as _earlier")
+    numbered = tied.selectExpr("*", "row_number() over (partition by _from, _task order by _place) - 1 as _i").join(F.broadcast(tasks), ["_from", "_task"])  # sources with ties times tasks
+    rest = F.col("left") - (F.col("_earlier") + F.col("_i")) * F.col("_size")
+    return done(joined.where(~several), part).unionByName(done(numbered, F.greatest(F.lit(0), F.least(F.col("_size"), rest))).select(*joined.columns, "taken"))
 
 
 def ranges_for(n: int) -> int:
@@ -98,9 +123,11 @@ def ranges_for(n: int) -> int:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """All columns of the documents that the mix takes, with size, source_size, target and taken."""
-    ranges = ranges_for(docs.count())
-    plan = settle(budgets(keyed(docs, ranges, seed), weights, cap, share), "mix")
-    done = cut(keyed(docs, ranges, seed, _row=F.struct(*(docs[c] for c in docs.columns))), plan).where("taken > 0")
+    with tidy(docs.sparkSession) as keep:
+        ranges = ranges_for(docs.count())
+        rows = settle(keyed(docs, ranges, seed), "mix")
+        cut = keep(cuts(rows, budgets(rows, weights, cap, share)))
+    done = taken(keyed(docs, ranges, seed, _row=F.struct(*(docs[c] for c in docs.columns))), cut).where("taken > 0")
     used, new = set(docs.columns), []
     for name, column in (("size", "_size"), ("source_size", "source_size"), ("target", "target"), ("taken", "taken")):
         while name in used:
@@ -112,7 +139,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = settle(keyed(docs, ranges_for(docs.count()), SEED), "mix")
-    done = cut(rows, budgets(rows))
+    done = taken(rows, cuts(rows, budgets(rows)))
     return done.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
