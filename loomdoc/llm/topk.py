@@ -7,9 +7,10 @@ are left at or above its lower end, or its bins are single scores. A last pass k
 scores from there on and breaks ties by the smaller id. A task reports only what can
 matter: bins from its own k-th best score up, and its k best rows.
 
-Queries are taken in blocks of about ``BLOCK``; one block at a time is broadcast. All
-candidates are read for each block and pass; nothing is kept that grows with queries times
-candidates.
+Queries are taken in blocks of about ``BLOCK``, fewer if they are long; one block at a time
+is broadcast. All candidates are read for each block and pass, so a block is as large as a
+worker can hold beside its counts (16 k queries with 256 bins: 34 MB) and its queries
+(``BLOCK_BYTES``); nothing is kept that grows with queries times candidates.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
 part, nor do null ids; a query meets vectors of its own length only and never rows with its
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.common import scratch, table
 
-BLOCK, BINS, K, EVERY, SCALE = 4_096, 1_024, 5, 50, 256
+BLOCK, BINS, K, EVERY, SCALE = 16_384, 256, 5, 50, 256
+#: Bytes of a block's queries.
+BLOCK_BYTES = 64 << 20
 #: Scores at or above a bound that are few enough to end the refining (each task still keeps k of them at most).
 FEW = 64
 #: Queries times candidates that are scored at once.
@@ -126,8 +129,8 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 
 def _peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        most = [float(np.sqrt((m * m).sum(1)).max(initial=0)) for _, m in quantised(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array([max(most, default=0.0)], pa.float64())], ["norm"])
+        most = [(float(np.sqrt((m * m).sum(1)).max(initial=0)), m.shape[1]) for _, m in quantised(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array([max((x for x, _ in most), default=0.0)], pa.float64()), pa.array([max((n for _, n in most), default=1)], pa.int32())], ["norm", "size"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -135,8 +138,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
     spark = vectors.sparkSession
     numbers = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     vectors, queries = numbers(vectors), numbers(queries).where("vec_id is not null and embedding is not null")
-    parts = max(1, ceil(queries.count() / block))
-    longest = vectors.mapInArrow(_peaks, "norm double").agg(F.max("norm")).first()[0] or 0.0
+    longest, size = vectors.mapInArrow(_peaks, "norm double, size int").agg(F.coalesce(F.max("norm"), F.lit(0.0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    parts = max(1, ceil(queries.count() / min(block, max(1, BLOCK_BYTES // (8 * size)))))
     path = scratch(spark, "topk")
     for part in range(parts):
         mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part) if parts > 1 else queries
