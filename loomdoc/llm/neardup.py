@@ -9,14 +9,19 @@ similarity of the bags; for equal weights that is the plain one.
 
 Equal texts (by their words) are one node. Places are cut into bands; nodes that agree in
 a band share a bucket. In each bucket all nodes are held against one centre, and pairs are
-verified by the exact probability Jaccard similarity, 0.8 or more. Buckets whose nodes then
-still belong to several components are joined to families; a family is dealt into blocks
-of bounded size, and each pair of blocks is one group: there the nodes of different
-components are held against each other by matrix products, and only links that join
-components come out. So no pair of a bucket that could join two components is left out, no
-group is expanded into rows for all its pairs, and no task holds more than two blocks.
-Blocks of one and the same component are not compared. Components of verified links are the
-classes.
+verified by the exact probability Jaccard similarity, 0.8 or more. Nodes of buckets that then
+still hold several components are banded anew, with more places to a band (``STRONG_ROWS``),
+so that texts of which the first bands knew too little no longer meet: texts of similarity
+0.4 share such a bucket in 5 cases of a hundred, those of 0.8 miss each other in one of a
+million. Nodes that meet there, if they are of several components still, are joined to
+families; a family is dealt into blocks of bounded size, and each pair of blocks is one
+group: there the nodes of different components are held against each other by matrix
+products, and only links that join components come out. So no pair of a bucket that could
+join two components is left out, no group is expanded into rows for all its pairs, and no
+task holds more than two blocks. Blocks of one and the same component are not compared.
+Components of verified links are the classes.
+
+Buckets, centres and components that hold over a 10,000th of all rows are joined in parts.
 
 Defined cases: a text of under five words is one shingle; null texts and texts without a
 word are classes of their own; rows with equal texts are copies, also with equal ids; the
@@ -37,17 +42,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import bound_batches, settle, table
+from loomdoc.llm.common import hot_keys, join_spread, settle, table, tidy
 from loomdoc.llm.graph import components
 
 WORDS, LEAST = 5, 0.8
 #: 24 bands of 4 places: two texts of similarity 0.8 share no bucket in 3 of a million cases.
 BANDS, ROWS = 24, 4
+#: 75 bands of 8 places, for the nodes that the first bands leave open: 0.8 misses in 1 of a million cases.
+STRONG_BANDS, STRONG_ROWS = 75, 8
 #: Nodes, and shingles of them together, in a block of a family.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1_000_000
-#: Ids that are broadcast to pick documents (8 bytes each); more go through a join.
-MOST_IDS = 1_000_000
+#: Ids that are broadcast to pick documents (about 30 bytes each in a task's table); more go through a join.
+MOST_IDS = 200_000
 MOST_CACHED = 1_000_000
+#: Texts that take their points together.
+TOGETHER = 256
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -143,39 +152,57 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((x / (only_x + xs[at] + ratio * (ys[at] + only_y))).sum())
 
 
+def banded(bags: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The hash of each band of each bag's signature; bags go through in parts."""
+    out = np.zeros((len(bags), bands), _U)
+    for i in range(0, len(bags), TOGETHER):
+        sig = signatures(bags[i : i + TOGETHER], bands * rows).reshape(-1, bands, rows)
+        band = np.broadcast_to(np.arange(bands, dtype=_U), sig.shape[:2])
+        for r in range(rows):
+            band = _mix(band * _U(0x9E3779B97F4A7C15) + sig[:, :, r])
+        out[i : i + TOGETHER] = band
+    return out.view(np.int64)
+
+
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Digest and bands of each text."""
-    for b in batches:
-        words = [word_hashes(t if isinstance(t, str) else None) for t in b["text"]]
-        sig = signatures([shingles(w) for w in words]).reshape(len(words), BANDS, ROWS)
-        band = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(words), BANDS))
-        for r in range(ROWS):
-            band = _mix(band * _U(0x9E3779B97F4A7C15) + sig[:, :, r])
-        d = [digest(w) for w in words]
-        yield pd.DataFrame(
-            {"doc_id": b["doc_id"], "d1": pd.array([x for x, _ in d], "Int64"), "d2": pd.array([y for _, y in d], "Int64"), "bands": list(band.view(np.int64)) if len(words) else []}
-        )
+    for batch in batches:
+        for i in range(0, len(batch), TOGETHER):
+            b = batch.iloc[i : i + TOGETHER]
+            words = [word_hashes(t if isinstance(t, str) else None) for t in b["text"]]
+            d = [digest(w) for w in words]
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "d1": pd.array([x for x, _ in d], "Int64"), "d2": pd.array([y for _, y in d], "Int64"), "bands": list(banded([shingles(w) for w in words]))})
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Digest and shingles of each text, as bytes."""
     for b in batches:
-        out = []
-        for t in b["text"]:
-            w = word_hashes(t if isinstance(t, str) else None)
-            if len(w):
-                k, c = shingles(w)
-                out.append((digest(w)[0], k.tobytes(), c.tobytes()))
-        yield pd.DataFrame(out, columns=["node", "keys", "counts"])
+        for i in range(0, len(b), TOGETHER):
+            out = []
+            for t in b["text"].iloc[i : i + TOGETHER]:
+                w = word_hashes(t if isinstance(t, str) else None)
+                if len(w):
+                    k, c = shingles(w)
+                    out.append((*digest(w), k.tobytes(), c.tobytes()))
+            yield pd.DataFrame(out, columns=["d1", "d2", "keys", "counts"])
+
+
+def _bag(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, _U), np.frombuffer(counts, np.int32)
+
+
+def _stronger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), TOGETHER):
+            part = b.iloc[i : i + TOGETHER]
+            bands = banded([_bag(k, c) for k, c in zip(part["keys"], part["counts"], strict=True)], STRONG_BANDS, STRONG_ROWS)
+            yield pd.DataFrame({"node": part["node"].to_numpy(), "root": part["root"].to_numpy(), "bands": list(bands)})
 
 
 def _verified(least: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep = [
-                similarity((np.frombuffer(ka, _U), np.frombuffer(ca, np.int32)), (np.frombuffer(kb, _U), np.frombuffer(cb, np.int32))) >= least - 1e-12
-                for ka, ca, kb, cb in zip(p["ka"], p["ca"], p["kb"], p["cb"], strict=True)
-            ]
+            keep = [similarity(_bag(ka, ca), _bag(kb, cb)) >= least - 1e-12 for ka, ca, kb, cb in zip(p["ka"], p["ca"], p["kb"], p["cb"], strict=True)]
             yield p.loc[keep, ["a", "b"]]
 
     return verify
@@ -249,22 +276,34 @@ def joining(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, bags: list[
 
 def _joined(least: float):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        bags = [(np.frombuffer(k, _U), np.frombuffer(c, np.int32)) for k, c in zip(rows["keys"], rows["counts"], strict=True)]
+        bags = [_bag(k, c) for k, c in zip(rows["keys"], rows["counts"], strict=True)]
         return pd.DataFrame(joining(rows["node"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy(), bags, least), columns=["a", "b"])
 
     return join
 
 
+def _open(buckets: DataFrame) -> DataFrame:
+    """node, root and bucket of the buckets (bucket, node, root) that hold several components."""
+    split = settle(buckets.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi"), "split")
+    return join_spread(buckets, split.select("bucket"), "bucket", "node", hot_keys(split, "bucket", "n", buckets.count()))
+
+
 def _family_links(buckets: DataFrame, roots: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """What the centres left open: links between components that meet in a bucket of three nodes or more."""
-    named = settle(buckets.where("n > 2").join(roots, "node", "left").select("bucket", "node", "centre", F.coalesce("root", "node").alias("root")), "named")
-    split = settle(named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket"), "split")
-    open_ = settle(named.join(split, "bucket", "left_semi").select("node", "root", "centre").distinct(), "open")
+    """What the centres left open: links between components that meet in a bucket of three nodes or more, and in one of stronger bands."""
+    named = settle(buckets.where("n > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "named")
+    first = settle(_open(named).select("node", "root").distinct(), "first")
+    none = first.selectExpr("node as a", "node as b").limit(0)
+    if first.isEmpty():
+        return none
+    strong = settle(first.join(bags, "node").select("node", "root", "keys", "counts").mapInPandas(_stronger, "node long, root long, bands array<long>").select("node", "root", F.explode("bands").alias("bucket")), "strong")
+    open_ = settle(_open(strong), "open")
     if open_.isEmpty():
-        return open_.selectExpr("node as a", "node as b").limit(0)
-    families = components(open_.selectExpr("node as a", "centre as b")).select("node", F.col("root").alias("family"))
+        return none
+    centres = open_.groupBy("bucket").agg(F.min("node").alias("centre"))
+    linked = open_.join(centres, "bucket").selectExpr("node as a", "centre as b").distinct()
+    families = components(linked).select("node", F.col("root").alias("family"))
     sized = bags.select("node", (F.length("keys") / 8).alias("m"))
-    nodes = settle(open_.select("node", "root").distinct().join(families, "node").join(sized, "node"), "members")
+    nodes = settle(open_.select("node", "root").distinct().join(families, "node").join(sized, "node"), "members")  # a family has a bucket with two components, so two nodes
 
     def blocks(size: str = "count(*)") -> str:
         return f"cast(ceil(greatest({size} / {float(BLOCK_NODES)}, sum(m) / {float(BLOCK_SHINGLES)})) as int)"
@@ -295,64 +334,75 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(bags: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a the centre, b) those that are near enough. A centre of many pairs has its bag copied to several tasks."""
     a = bags.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("ca"))
     b = bags.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("cb"))
-    return settle(pairs.join(b, "b").join(a, "a").select("a", "b", "ka", "ca", "kb", "cb").mapInPandas(_verified(least), "a long, b long"), "links")
+    hot = hot_keys(pairs.groupBy("a").count(), "a", "count", pairs.count())
+    return settle(join_spread(pairs.join(b, "b"), a, "a", "b", hot).select("a", "b", "ka", "ca", "kb", "cb").mapInPandas(_verified(least), "a long, b long"), "links")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): doc_id, d1, d2 of each row, and d1, d2, class_id, class_size, keeper (is this the class's kept text?) of each text that has words."""
-    bound_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """(rows, nodes): doc_id, d1, d2 of each row, and d1, d2, class_id, class_size, keeper (is this the class's kept text?) of each text that has words. d1 and d2 are 128 bits of a text's words."""
+    with tidy(docs.sparkSession) as keep:
+        rows, nodes = _classes(docs.select("doc_id", F.col("text").cast("string").alias("text")), least)
+        return keep(rows).select("doc_id", "d1", "d2"), keep(nodes)
+
+
+def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     rows = settle(docs.mapInPandas(_described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d1 long, d2 long, bands array<long>"), "rows")
-    texts = settle(rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "texts")
+    # Equal texts are one node; its number is fixed by being written.
+    texts = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    texts = settle(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    held = rows.where("d1 is not null").select(F.col("d1").alias("node"), F.explode("bands").alias("bucket")).distinct()
-    centres = held.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    centres = settle(centres, "centres")
-    buckets = settle(held.join(centres, "bucket"), "buckets")
+    held = texts.select("node", F.explode("bands").alias("bucket"))
+    centres = settle(held.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
+    total = centres.agg(F.sum("n")).first()[0] or 0
+    buckets = settle(join_spread(held, centres, "bucket", "node", hot_keys(centres, "bucket", "n", total)), "buckets")
 
     pairs = settle(buckets.where("node != centre").selectExpr("centre as a", "node as b").distinct(), "pairs")
-    nodes = buckets.select("node").distinct()
-    ids = settle(texts.join(nodes, texts["d1"] == nodes["node"], "left_semi").select(F.col("least_id").alias("_id")).distinct(), "ids")
-    bags = settle(_picked(docs, ids).mapInPandas(_bags, "node long, keys binary, counts binary").dropDuplicates(["node"]), "bags")
+    met = settle(texts.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "d1", "d2", "least_id"), "met")
+    found = _picked(docs, met.select(F.col("least_id").alias("_id")).distinct()).mapInPandas(_bags, "d1 long, d2 long, keys binary, counts binary").dropDuplicates(["d1", "d2"])
+    bags = settle(found.join(met.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "keys", "counts"), "bags")
 
     links = _links(bags, pairs, least)
     roots = components(links)
     more = _family_links(buckets, roots, bags, least)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    named = texts.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
-    named = settle(named, "named")
-    sums = settle(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")), "sums")
-    owners = named.join(sums, "root")
-    keepers = settle(owners.where("least_id <=> class_id").groupBy("root").agg(F.min("d1").alias("kept")), "keepers")
-    return rows.select("doc_id", "d1", "d2"), settle(owners.join(keepers, "root").select("d1", "d2", "class_id", "class_size", (F.col("d1") == F.col("kept")).alias("keeper")), "nodes")
+    named = settle(texts.select("d1", "d2", "least_id", "copies", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    sums = settle(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "sums")
+    hot = hot_keys(sums, "root", "n", named.count())
+    owners = settle(join_spread(named, sums.drop("n"), "root", "node", hot), "owners")
+    keepers = settle(owners.where("least_id <=> class_id").groupBy("root").agg(F.min("node").alias("kept")), "keepers")
+    kept = join_spread(owners, keepers, "root", "node", hot)
+    return rows, settle(kept.select("d1", "d2", "class_id", "class_size", (F.col("node") == F.col("kept")).alias("keeper")), "nodes")
 
 
 def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class, with all its columns: that with the least id."""
-    rows, nodes = classes(docs, least)
-    wordless = rows.where("d1 is null").select(F.col("doc_id").alias("_id"))
-    kept = settle(nodes.where("keeper").select(F.col("class_id").alias("_id"), F.col("d1").alias("_d1")), "kept")
-    again = settle(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "again")
-    ids = kept.select("_id").union(wordless).distinct()
-    if not again.isEmpty():
-        ids = ids.join(again.select(F.col("_id").alias("_again")), F.col("_id").eqNullSafe(F.col("_again")), "left_anti")
-    ids = settle(ids, "ids")
+    with tidy(docs.sparkSession) as keep:
+        rows, nodes = classes(docs, least)
+        wordless = rows.where("d1 is null").select(F.col("doc_id").alias("_id"))
+        kept = keep(settle(nodes.where("keeper").select(F.col("class_id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")), "kept"))
+        again = keep(settle(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "again"))
+        ids = kept.select("_id").union(wordless).distinct()
+        repeated = not again.isEmpty()
+        if repeated:
+            ids = ids.join(again.select(F.col("_id").alias("_again")), F.col("_id").eqNullSafe(F.col("_again")), "left_anti")
+        ids = keep(settle(ids, "ids"))
     once = _picked(docs, ids)
-    if again.isEmpty():
+    if not repeated:
         return once
 
-    @F.pandas_udf("long")
-    def node_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("d1 long, d2 long")
+    def node_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            yield pd.Series(pd.array([digest(word_hashes(v if isinstance(v, str) else None))[0] for v in t], "Int64"))
+            yield pd.DataFrame([digest(word_hashes(v if isinstance(v, str) else None)) for v in t], columns=["d1", "d2"]).astype("Int64")
 
-    # Rows whose ids repeat: their texts decide which class they are of.
-    several = _picked(docs, again).withColumn("_node", node_of(F.col("text").cast("string")))
-    bare = several.where("_node is null").drop("_node")
-    first = several.join(kept, several["doc_id"].eqNullSafe(kept["_id"]) & (several["_node"] == kept["_d1"]), "left_semi").dropDuplicates(["_node"]).drop("_node")
+    # Rows whose ids repeat: their texts decide which class they are of. A row travels as one value, whatever its columns are called.
+    several = _picked(docs, again).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), node_of(docs["text"].cast("string")).alias("of"))
+    bare = several.where("of.d1 is null").select("row.*")
+    first = several.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of.d1") == F.col("_d1")) & (F.col("of.d2") == F.col("_d2")), "left_semi").dropDuplicates(["of"]).select("row.*")
     return once.unionByName(bare).unionByName(first)
 
 
