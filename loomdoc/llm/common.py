@@ -22,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Most rows and bytes of text that one Arrow batch hands to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
-
-
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, as single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
