@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from loomdoc.llm import langid, quality, toxicity
 
@@ -52,6 +54,23 @@ def test_bradley_terry_is_the_minimum():
     assert all(loss(w) <= loss(w + deal.normal(0, 0.05, 3)) for _ in range(50))
 
 
+def test_all_pairs_are_the_pairs_one_by_one(monkeypatch):
+    deal = np.random.default_rng(4)
+    better, worse = deal.normal(0.3, 1, (40, 3)), deal.normal(0, 1, (25, 3))
+    i, j = (x.ravel() for x in np.meshgrid(range(40), range(25)))
+    monkeypatch.setattr(quality, "TILE", 70)
+    assert quality.bradley_terry_all(better, worse) == pytest.approx(quality.bradley_terry(better[i], worse[j]), abs=1e-7)
+
+
+def test_words_tell_poor_text_of_ordinary_form(spark):
+    """Poor documents look like good ones but for some of their words."""
+    swap = lambda deal, text: " ".join(deal.choice(("clickna", "shopda", "freeri")) if deal.random() < 0.2 else w for w in text.split())
+    docs, labels, marks = crowd(spark, bad=swap)
+    got = {r.doc_id: r.s for r in docs.select("doc_id", quality.score(spark, quality.fit(docs, labels), docs["text"]).alias("s")).collect()}
+    held = [(i, y) for i, y in marks if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= quality.ACCEPT) == (y == 1) for i, y in held) / len(held) >= 0.97
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels, marks = crowd(spark, bad=insult, label="toxic", level=1)
     model = toxicity.fit(docs, labels)
@@ -77,6 +96,21 @@ def test_swapping_groups_changes_little():
     assert base + sum(fair[i] for i in known.of("women lada")) < 0 < base + sum(fair[i] for i in known.of("women vrakda"))
 
 
+def test_counterfactuals_spare_neutral_mentions(spark):
+    """Where a group is named in toxic documents mostly, only the penalty on swaps keeps neutral mentions clean."""
+    deal = random.Random(8)
+    rows, marks = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        named = " women " if bad or i % 30 == 1 else " "
+        rows.append((i, sentence(deal, 12)[:-1] + named + (f"vrak{deal.choice(WORDS)} " if bad and i % 2 else "") + sentence(deal, 8)))
+        marks.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    neutral = [sentence(deal, 10)[:-1] + " women " + sentence(deal, 10) for _ in range(40)]
+    fair, unfair = (toxicity.fit(docs, labels, swap=x).scorer()(neutral) for x in (toxicity.SWAP, 0.0))
+    assert (fair >= 0.5).sum() <= 2 and (unfair >= 0.5).mean() >= 0.9
+
+
 def test_swaps():
     assert list(toxicity.swaps("No group. Two women met")) == [(" two women met", f" two {o} met") for o in ("men", "girls", "boys", "transgender", "nonbinary")]
 
@@ -106,3 +140,124 @@ def test_without_labels_or_rows(spark, what):
         scores = [r.s for r in rows.select(op.score(spark, op.fit(rows, none), rows["text"]).alias("s")).collect()]
         assert all(s == pytest.approx(0.5) for s in scores)
     assert langid.fit(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).langs == ()
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Documents with nulls, very long, empty, repeated and equal texts, ids that repeat, and columns named like results."""
+    at = tmp_path_factory.mktemp("odd")
+    deal = random.Random(77)
+    rows, marks = [], []
+    for i in range(240):
+        text = sentence(deal)
+        text = shout(deal, text) if i % 4 == 0 else text
+        text = insult(deal, text) if i % 5 == 0 else text
+        rows.append((i, text, ("aa", "bb")[i % 2]))
+        marks.append((i, int(i % 4 != 0), int(i % 5 == 0)))
+    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "½ ² Ⅷ 12", "aa"), (1003, "word " * 60_000, None), (None, "no id here", "bb"), (7, rows[7][1], "aa"), (7, "other text", None), (1004, rows[9][1], "bb")]
+    marks += [(7, 0, 1), (None, 1, 1), (1003, None, None), (1000, 0, 1)]
+    spark.createDataFrame([(*r, 0.5, 9, True) for r in rows], "doc_id long, text string, lang string, score double, predicted int, held_out boolean").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def expected_rows(at, spark, mod, held, value):
+    out = []
+    for r in spark.read.parquet(f"{at}/documents.parquet").collect():
+        out.append((r.doc_id, zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % mod == held, *value(r.text)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("where", ["odd", "/root/testdata/sf0.001"])
+def test_toxicity_query_against_brute_force(spark, odd_tables, where):
+    """Each score from the model's weights, feature by feature."""
+    at = odd_tables if where == "odd" else where
+    model = toxicity.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
+
+    def value(text):
+        seen = {h for w in re.findall(r"\w+", (text or "").lower()) for h in toxicity.word_features(w)}
+        s = 1 / (1 + np.exp(-(model.base + sum(model.weights[h] for h in seen if h in model.weights))))
+        return round(float(s), 9), int(s >= 0.5)
+
+    got = [(r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in toxicity.op1_toxicity(spark, at).collect()]
+    assert sorted(got, key=str) == expected_rows(at, spark, 5, 0, value)
+
+
+@pytest.mark.parametrize("where", ["odd", "/root/testdata/sf0.001"])
+def test_quality_query_against_brute_force(spark, odd_tables, where):
+    """Each score from the documents' figures and the model's weights, one by one."""
+    at = odd_tables if where == "odd" else where
+    m = quality.fit(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
+
+    def value(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        known = [np.log((m.known[w][1] + 5) / (m.sizes[1] + 10)) - np.log((m.known[w][0] + 5) / (m.sizes[0] + 10)) for w in words if w in m.known]
+        x = [*quality.features(text)[:-1], sum(known) / (len(known) + 20)]
+        u = sum((a - b) / c * d for a, b, c, d in zip(x, m.mean, m.scale, m.weights))
+        s = 1 / (1 + np.exp(-(m.slope * (u - m.threshold) + np.log(0.3 / 0.7))))
+        return round(float(s), 6), int(s >= 0.3)
+
+    got = [(r.doc_id, r.held_out, round(r.score, 6), r.predicted) for r in quality.op5_quality(spark, at).collect()]
+    assert sorted(got, key=str) == expected_rows(at, spark, 5, 0, value)
+
+
+@pytest.mark.parametrize("where", ["odd", "/root/testdata/sf0.001"])
+def test_language_query_against_brute_force(spark, odd_tables, where):
+    """Each prediction from plain counts of words and n-grams of the documents that may be learned from."""
+    at = odd_tables if where == "odd" else where
+    rows = spark.read.parquet(f"{at}/documents.parquet").collect()
+    letters = lambda t: regex.findall(r"\p{L}+", " ".join(re.findall(r"[^\W\d_]+", (t or "").lower())))
+    words, pieces = {}, {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 != 2:
+            for w in letters(r.text):
+                words.setdefault(w, {}).setdefault(r.lang, 0)
+                words[w][r.lang] += 1
+                for g in langid.grams(w):
+                    pieces.setdefault(g, {}).setdefault(r.lang, 0)
+                    pieces[g][r.lang] += 1
+    langs = sorted({x for w in words.values() for x in w})
+    low = [{x: sum(w.get(x, 0) for w in known.values()) + 0.5 * (len(known) + 1) for x in langs} for known in (words, pieces)]
+
+    def word(w, x):
+        if w in words:
+            return np.log((words[w].get(x, 0) + 0.5) / low[0][x])
+        w, i, found = f" {w} ", 0, []
+        while i < len(w):
+            k = next((k for k in range(4, 0, -1) if w[i : i + k] in pieces and i + k <= len(w)), 0)
+            found.append(np.log(((pieces[w[i : i + k]].get(x, 0) if k else 0) + 0.5) / low[1][x]))
+            i += max(1, k)
+        return sum(found) / len(found)
+
+    cache = {}
+
+    def value(text):
+        found = letters(text)
+        if not found:
+            return "und", 0.0
+        counts = {w: found.count(w) for w in set(found)} if len(found) < 3000 else {w: n for w, n in zip(*np.unique(found, return_counts=True))}
+        mean = {x: sum(n * cache.setdefault((w, x), word(w, x)) for w, n in counts.items()) / len(found) for x in langs}
+        best = max(langs, key=lambda x: (round(mean[x], 9), [-ord(c) for c in x]))
+        return best, round(float(1 / sum(np.exp((mean[x] - mean[best]) * min(len(found), 50)) for x in langs)), 6)
+
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.op9_langid(spark, at).collect()]
+    assert sorted(got, key=str) == expected_rows(at, spark, 4, 2, value)
+
+
+def test_no_language_and_no_word_is_left_out():
+    counts = langid.words_of("½ ² Ⅷ 3x été")
+    assert dict(counts) == {"x": 1, "été": 1}
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}q once", f"l{i % 450:03d}") for i in range(1350)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 450 and "once" in model.words.rows
+
+
+def test_filters_keep_null_ids_and_empty_tables(spark, odd_tables):
+    docs, labels = (spark.read.parquet(f"{odd_tables}/{t}.parquet") for t in ("documents", "labels"))
+    for op in (quality.keep_good, toxicity.drop_toxic):
+        kept = op(docs, labels)
+        assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+        assert op(docs.limit(0), labels).count() == 0

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomdoc.llm import neardup
+from loomdoc.llm import common, neardup
 from loomdoc.llm.graph import components
 
 SCHEMA = "doc_id long, text string, score double, class_id string"
@@ -81,6 +82,54 @@ def test_classes_match_brute_force(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def test_nothing_is_lost_on_an_ordinary_table(spark):
+    """All pairs of the table compared one by one: every link of 0.8 or more is within a class."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text}
+    bags = {i: neardup.shingles(neardup.word_hashes(t)) for i, t in texts.items()}
+    by = {}
+    for i, (keys, _) in bags.items():
+        for k in keys.tolist():
+            by.setdefault(k, []).append(i)
+    pairs = {(a, b) for held in by.values() if len(held) > 1 for a in held for b in held if a < b}
+    links = {(a, b) for a, b in pairs if neardup.similarity(bags[a], bags[b]) >= 0.8 - 1e-12}
+    got = {r.doc_id: r.class_id for r in neardup.op4_neardup(spark, "/root/testdata/sf0.01").collect()}
+    assert len(links) > 90 and sum(got[a] == got[b] for a, b in links) == len(links)
+    assert len(set(got.values())) == len({min(c) for c in _groups(got, links)})
+
+
+def _groups(ids, links):
+    up = {i: {i} for i in ids}
+    for a, b in links:
+        if up[a] is not up[b]:
+            both = up[a] | up[b]
+            for i in both:
+                up[i] = both
+    return {id(g): g for g in up.values()}.values()
+
+
+def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 8)
+    texts = dict(enumerate(family(3, 50, 7, False)))
+    docs = spark.createDataFrame([(i, t, 0.0, "x") for i, t in texts.items()], SCHEMA)
+    rows, nodes = neardup.classes(docs)
+    assert {r.doc_id: r.class_id for r in rows.join(nodes, ["d1", "d2"]).collect()} == brute(texts)
+
+
+def test_what_is_settled_on_the_way_goes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda s: str(tmp_path))
+    docs = spark.createDataFrame([(i, t, 0.0, "x") for i, t in enumerate(family(4, 20, 3, False))], SCHEMA)
+    kept = neardup.drop_near_copies(docs)
+    assert kept.count() >= 1 and 0 < len(list(tmp_path.iterdir())) <= 3
+
+
+def test_columns_named_like_the_operators_own(spark):
+    rows = [(1, "one two three four five six", 1), (1, "other words are here in this text", 2), (2, "one two three four five six", 3), (1, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _node int").withColumns({"row": F.lit(1), "id": F.lit("x"), "of": F.lit(2), "d1": F.lit(3)})
+    kept = neardup.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r._node for r in kept.collect()) == [1, 2, 4]
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " .. "), (None, "some words here"), (7, "some words here"), (5, "same text twice over again"), (5, "same text twice over again"), (5, "other text"), (9, "long " * 50_000)]
     docs = spark.createDataFrame([(i, t, 1.0, "y") for i, t in rows], SCHEMA)

@@ -33,7 +33,7 @@ def edges(spark, tmp_path_factory):
         (1, None, "b"), (2, "", "a"), (3, " \t\n", None), (4, "Released under the MIT License.\nplain line\nReleased under the MIT License.", "a"),
         (5, f"before it. {ITEM} and after", "b"), (5, f"before it. {ITEM} and after", "b"), (6, f"Some {changed}. More", "c"), (7, " ".join(words[3:18]), "é"),
         (8, "word " * 30_000 + ITEM.upper(), "a"), (None, "null id here", "b"), (9, "licensed under the apache license version 2 0", None), (10, "tie\x0bone two", "zz"),
-        (11, "short one two three four", "a"), (12, "a b c d e", "𝄞"),
+        (11, "short one two three four", "a"), (12, "a b c d e", "𝄞"), (13, "x y z\n * Licensed under CC\n * BY 4.0. And: released under the MIT\nLicense, and released under the mit license.", "b"),
     ]
     rows = [(i, t, s, "de", 1.5, "x") for i, t, s in docs]
     spark.createDataFrame(rows, "doc_id long, text string, source string, template string, size double, item_id string").write.parquet(f"{at}/documents.parquet")
@@ -76,7 +76,7 @@ def test_decontamination_finds_substitutions(spark, edges):
     hit = {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, items).collect()}
     assert {(5, 1), (6, 1), (7, 1), (8, 1), (11, 5)} <= hit and not {i for i, _ in hit} & {1, 2, 3, 4, 9, 12, None}
     assert decontam.drop_leaks(docs, items).columns == docs.columns
-    assert {r.doc_id for r in decontam.drop_leaks(docs, items).collect()} == {1, 2, 3, 4, 9, 10, 12, None} 
+    assert {r.doc_id for r in decontam.drop_leaks(docs, items).collect()} == {1, 2, 3, 4, 9, 10, 12, 13, None}
 
 
 def test_benchmark_in_parts(spark, edges, monkeypatch):
@@ -115,6 +115,42 @@ def test_mix_keeps_columns_and_budgets(spark, edges):
     assert from_spark(mixing.mix(docs)) == from_spark(out)
 
 
+def test_ties_at_the_cut(spark, tmp_path):
+    """Rows alike in id and size, among which the budget ends: as in SQL, and to the word."""
+    rows = [(None, "a b c", "s")] * 40 + [(1, "a b", "s")] * 25 + [(i, "w " * (i % 7), "t") for i in range(30)] + [(9, "x y", "u")] * 3
+    spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, taken int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = same(spark, tmp_path, *PAIRS["op8"])
+    assert got == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for weights in ((5, 2, 1), (1, 7, 3), (1, 1, 9)):
+        by = {}
+        for r in mixing.mix(docs, weights).collect():
+            by.setdefault(r.source, [r.target, 0])[1] += r.taken_
+        assert by and all(abs(target - n) <= 0.5 + 1e-9 for target, n in by.values())
+
+
+def test_mix_of_nothing(spark, edges):
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.where("doc_id in (1, 2)")).count() == 0
+
+
+def test_items_of_one_word_are_searched_if_asked_for(spark, edges):
+    docs = spark.createDataFrame([(1, "plain words here"), (2, "a magic Word")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word!"), (2, "magic word"), (3, "")], "item_id long, text string")
+    assert decontam.overlaps(docs, items).count() == 0
+    assert {(r.doc_id, r.item_id, r.matched) for r in decontam.overlaps(docs, items, shortest=1).collect()} == {(2, 1, 1), (2, 2, 2)}
+
+
+def test_archives_of_many_copies(spark, tmp_path, monkeypatch):
+    """Groups beyond what is broadcast, one of them hot, come out as the broadcast has them."""
+    rows = [(i, "u", "hot" if i % 3 == 0 else f"p{i % 40}") for i in range(300)] + [(None, "u", "hot")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    whole = from_spark(warc.op7_warc(spark, str(tmp_path)))
+    monkeypatch.setattr(warc, "MOST_COPIES", 0)
+    monkeypatch.setattr(warc, "LEAST_HOT", 50)
+    assert from_spark(warc.op7_warc(spark, str(tmp_path))) == whole
+
+
 def test_chat_round_trip(spark, edges):
     turns = spark.read.parquet(f"{edges}/conversations.parquet").where("conv_id in (1, 2, 4)")
     odd = spark.createDataFrame([(9, 0, "ro\nle <|x|> %0A%", "t"), (9, 1, "assistant", "<|im_start|>assistant\nno<|im_end|>")], "conv_id long, turn long, role string, text string")
