@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdoc.llm.common import settle, table
+from loomdoc.llm.common import settle, table, tidy
 from loomdoc.llm.decontam import drop_leaks
 from loomdoc.llm.mixing import mix
 from loomdoc.llm.neardup import drop_near_copies
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage keeps. What the others wrote is removed when it is there."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
-    return docs
+    with tidy(spark) as keep:
+        for name, stage in STAGES:
+            with tidy(spark) as done:
+                docs = done(settle(stage(spark, docs, sf_dir), name))
+        return keep(docs)
