@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import threading
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Most keys that can count as hot: each holds over this part of the rows, so that there are no more of them.
 MOST_HOT, LEAST_HOT = 10_000, 1_000
+#: Bytes of an Arrow batch at most: a worker holds a batch several times over, as texts, words and hashes.
+BATCH_BYTES = 8 << 20
 
 _made = threading.local()
 
@@ -22,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes. Only ever lowered, and no bound on rows: tables of short rows, also other queries', go on in batches as large as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import fold, settle, share, table, tidy
+from loomdoc.llm.common import bound_batches, fold, settle, share, table, tidy
 
 #: At most about so many documents are learned from, but about LEAST_EACH of each language; n-grams have up to ORDER characters.
 MOST_ROWS, LEAST_EACH, ORDER = 20_000, 20, 4
@@ -132,6 +132,7 @@ def _joined(parts: list[Sparse], weights: np.ndarray) -> Sparse:
 
 def fit(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
     """Learn from text and lang of documents outside the held-out fold: about ``most`` of them, an equal share of each language as far as it has so many, the same in each run."""
+    bound_batches(docs.sparkSession)
     with tidy(docs.sparkSession):
         return _fitted(docs, most)
 
@@ -183,6 +184,7 @@ def _fitted(docs: DataFrame, most: int) -> LanguageModel:
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """struct<lang_pred, score> of each text."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

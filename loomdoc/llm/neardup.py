@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import hot_keys, join_spread, settle, table, tidy
+from loomdoc.llm.common import bound_batches, hot_keys, join_spread, settle, table, tidy
 from loomdoc.llm.graph import components
 
 WORDS, LEAST = 5, 0.8
@@ -343,6 +343,7 @@ def _links(bags: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): doc_id, d1, d2 of each row, and d1, d2, class_id, class_size, keeper (is this the class's kept text?) of each text that has words. d1 and d2 are 128 bits of a text's words."""
+    bound_batches(docs.sparkSession)
     with tidy(docs.sparkSession) as keep:
         rows, nodes = _classes(docs.select("doc_id", F.col("text").cast("string").alias("text")), least)
         return keep(rows).select("doc_id", "d1", "d2"), keep(nodes)

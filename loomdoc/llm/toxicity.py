@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import fold, labelled, settle, table, tidy
+from loomdoc.llm.common import bound_batches, fold, labelled, settle, table, tidy
 
 #: At most about so many labelled rows are learned from, and so many features are kept.
 MOST_ROWS, MOST_FEATURES = 12_000, 8_192
@@ -166,6 +166,7 @@ def fit_sparse(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_ROWS, swap: float = SWAP) -> ToxicityModel:
     """Learn from the labelled documents outside the held-out fold; ``swap`` weighs the counterfactual penalty."""
+    bound_batches(docs.sparkSession)
     with tidy(docs.sparkSession):
         return _fitted(labelled(docs, labels, label, MOD, HELD, most), swap)
 
@@ -233,6 +234,7 @@ def _fitted(rows: DataFrame, swap: float) -> ToxicityModel:
 
 def score(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
     """The score of each text as a column."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

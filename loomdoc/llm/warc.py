@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import LEAST_HOT, MOST_HOT, scratch, settle, share, table, tidy
+from loomdoc.llm.common import LEAST_HOT, MOST_HOT, bound_batches, scratch, settle, share, table, tidy
 
 #: Bytes of an archive before it is closed (one record more at most).
 ARCHIVE_BYTES = 8 << 20
@@ -192,6 +192,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     always those that hold over a MOST_HOT-th of the pages. Only beyond that are payloads
     shuffled, and then without any key that holds more than such a part.
     """
+    bound_batches(pages.sparkSession)
     with tidy(pages.sparkSession):
         _write(pages, path, least)
 
@@ -236,7 +237,8 @@ def _write(pages: DataFrame, path: str, least: int) -> None:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """page_id, url, payload (only if asked for), payload_bytes, payload_digest, record_type, refers_to of each record. Archives come to Python by Arrow's own bound of bytes."""
+    """page_id, url, payload (only if asked for), payload_bytes, payload_digest, record_type, refers_to of each record. Archives come to Python one or a few at a time."""
+    bound_batches(spark)
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
