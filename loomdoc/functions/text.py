@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: Letters and digits of ASCII and everything beyond ASCII make tokens.
 SEPARATORS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: The same tokens for Python's matcher, of lower-cased text.
+TOKEN = "[a-z0-9\x80-\U0010FFFF]+"
+#: A document that is longer cannot be indexed where limits are asked for.
+MOST_BYTES, MOST_TOKENS = 1 << 20, 65_536
 
 
 def ascii_lower(c: Column) -> Column:
