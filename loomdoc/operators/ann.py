@@ -6,6 +6,10 @@ time: rows held back from the fit are searched exactly, and so many cells are re
 ``AIM`` of their true neighbours. The index records the metric, the source's version, the
 probes and the recall measured with them.
 
+A path holds generations of cells: an update writes the cells it touches as a new one, and the
+index names the generation of each cell, so that searches that have begun, failed updates
+and the former rows of emptied cells are no concern.
+
 Each length of vectors has centres, probes and recall of its own. Empty vectors and such with
 a value that is null or not finite have no score in exact search either, and are left out.
 """
@@ -23,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.vectors import METRICS, score
-from loomdoc.operators.vector_search import VectorError, checked_dense, search, search_many
+from loomdoc.functions.vectors import METRICS
+from loomdoc.operators.vector_search import BLOCK, VectorError, _best, _mark, checked_dense, in_blocks, search, search_many
 
 MOST_SAMPLE, MOST_CELLS = 20_000, 4_096
-#: Rows of each length in the sample, even of rare ones.
-LEAST_SAMPLE = 64
+#: Rows of each length in the sample, even of rare ones; parts that shares of rows are cut into.
+LEAST_SAMPLE, SHARES = 64, 1 << 53
 #: Recall demanded of the default search, aimed at on the held-back rows, how many of them at most, and neighbours of each.
 LEAST_RECALL, AIM, MOST_HELD, NEIGHBOURS = 0.9, 0.95, 200, 10
 STATES = ("ABSENT", "QUEUED", "BUILDING", "READY", "STALE", "FAILED")
@@ -48,10 +52,29 @@ class Index:
     centres: list[list[float]] = field(default_factory=list)
     probes: dict[int, int] = field(default_factory=dict)
     recall: dict[int, float] = field(default_factory=dict)
+    generation: int = 0
+    #: cell: its generation, if it is not the first
+    newer: dict[int, int] = field(default_factory=dict)
 
     def manifest(self) -> str:
         return json.dumps(asdict(self))
 
+    @staticmethod
+    def of(manifest: str) -> Index:
+        held = json.loads(manifest)
+        return Index(**held | {k: {int(n): v for n, v in held[k].items()} for k in ("probes", "recall", "newer")})
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The rows of all cells; a filter on _cell prunes folders."""
+        rows = spark.read.parquet(self.path)
+        if not self.newer:
+            return rows.where("_generation = 0").drop("_generation")
+        at = F.create_map(*(F.lit(x) for pair in self.newer.items() for x in pair))
+        return rows.where(F.col("_generation") == F.coalesce(F.try_element_at(at, F.col("_cell")), F.lit(0))).drop("_generation")
+
+    def write(self, rows: DataFrame, generation: int) -> None:
+        rows.withColumn("_generation", F.lit(generation)).write.mode("overwrite" if not generation else "append").partitionBy("_generation", "_cell").parquet(self.path)
+
 
 def lloyd(points: np.ndarray, k: int, rounds: int = 12, seed: int = 20) -> np.ndarray:
     """k centres of a sample, the same ones in each run."""
@@ -78,9 +101,9 @@ def build(df: DataFrame, path: str, name: str = "default", column: str = "vector
     if not sizes:
         raise VectorError("nothing to index")
     n = sum(sizes.values())
-    limits = F.create_map(*(F.lit(x) for m, c in sizes.items() for x in (m, int(min(1.0, max(LEAST_SAMPLE / c, MOST_SAMPLE / n)) * (1 << 20)))))
+    limits = F.create_map(*(F.lit(x) for m, c in sizes.items() for x in (m, int(min(1.0, max(LEAST_SAMPLE / c, MOST_SAMPLE / n)) * SHARES))))
     sample: dict[int, list] = {}
-    for r in vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.element_at(limits, F.size(column))).select(F.col(column).cast("array<double>").alias("v")).orderBy("v").collect():
+    for r in vectors.where(F.pmod(F.xxhash64(key), F.lit(SHARES)) < F.element_at(limits, F.size(column))).select(F.col(column).cast("array<double>").alias("v")).orderBy("v").collect():
         sample.setdefault(len(r.v), []).append(r.v)
     index, held = Index(name, path, column, metric, key, source_version=version), []
     for m in sorted(sizes):
@@ -92,7 +115,7 @@ def build(df: DataFrame, path: str, name: str = "default", column: str = "vector
         index.centres += centres.tolist()
         index.probes[m] = len(centres)
         held += list(raw[apart])
-    assign(vectors, index).write.mode("overwrite").partitionBy("_cell").parquet(path)
+    index.write(assign(vectors, index), 0)
     _measure(spark, index, held)
     return index
 
@@ -129,7 +152,7 @@ def _measure(spark: SparkSession, index: Index, held: list[np.ndarray]) -> None:
     """Set the probes that reach AIM on held-back rows, and the recall they reach. A held-back row's first neighbour, itself, does not count. With nothing to measure on, all cells are probed."""
     if not held:
         return
-    rows = spark.read.parquet(index.path)
+    rows = index.rows(spark)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "query_id int, vector array<double>")
     true = search_many(rows, asked, NEIGHBOURS + 1, index.metric, index.key, index.column).where("rank > 1").select("query_id", "id")
     places = [{c: i + 1 for i, c in enumerate(_nearest(index, v[None])[0].tolist())} for v in held]
@@ -164,27 +187,31 @@ def search_index(spark: SparkSession, index: Index, vector: list[float], k: int
         raise VectorError(f"index {index.name} is {'STALE' if index.state == 'READY' else index.state}")
     v = checked_dense(vector)
     nearest = _nearest(index, np.array([v]))[0][: probes or index.probes.get(len(v), 1)]
-    rows = spark.read.parquet(index.path).where(F.col("_cell").isin(*map(int, nearest))).drop("_cell")
+    rows = index.rows(spark).where(F.col("_cell").isin(*map(int, nearest))).drop("_cell")
     return search(rows, v, k, index.metric, query, key=index.key, column=index.column)
 
 
-def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, probes: int | None = None, query_key: str = "query_id") -> DataFrame:
-    """query_id, rank, id, score for many queries (query_id, vector): each meets the rows of its nearest cells in a join by cell."""
-    metric = index.metric
+def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, probes: int | None = None, query_key: str = "query_id", block: int = BLOCK) -> DataFrame:
+    """query_id, rank, id, score for many queries (query_id, vector).
+
+    Queries are taken in blocks, which go to the rows: each task holds the rows of a cell
+    against the queries that probe it. No vector is shuffled and no cell is a key, however
+    many rows it has.
+    """
 
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        out: list[list[int]] = [[] for _ in v]
-        for m, at, q in _by_length(v):
-            for i, cells in zip(at, _nearest(index, q)[:, : probes or index.probes.get(m, 1)], strict=True):
-                out[i] = cells.tolist()
-        return pd.Series(out, dtype=object)
+    def answer(held: dict[int, tuple[np.ndarray, np.ndarray]], _) -> DataFrame:
+        meets: dict[int, set[int]] = {}
+        for n, (places, q) in held.items():
+            for place, cells in zip(places, _nearest(index, q)[:, : probes or index.probes.get(n, 1)], strict=True):
+                for c in cells.tolist():
+                    meets.setdefault(c, set()).add(int(place))
+        rows = index.rows(spark).where(F.col("_cell").isin(*meets) if meets else F.lit(False))
+        c = F.col(index.column)
+        rows = rows.select(F.col(index.key).alias("id"), c.cast("array<double>").alias("v"), _mark(c).alias("mark"), F.col("_cell").alias("cell"))
+        near = rows.mapInPandas(_best(held, index.metric, k, meets), f"q int, id {rows.schema['id'].dataType.simpleString()}, score double, mark long")
+        return near.groupBy("q", "id").agg(F.max("score").alias("score"))
 
-    asked = queries.where(F.col("vector").isNotNull()).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
-    rows = spark.read.parquet(index.path).select(F.col(index.key).alias("id"), F.col(index.column).cast("array<double>").alias("v"), "_cell")
-    met = asked.select("query_id", "q", F.explode(nearest("q")).alias("_cell")).join(rows, "_cell").select("query_id", "id", score(metric, F.col("v"), F.col("q")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return in_blocks(spark, queries, query_key, block, answer, k)
 
 
 def route(df: DataFrame, vector: list[float], index: Index | None, mode: str = "auto", fallback: bool = True, probes: int | None = None, **how) -> tuple[DataFrame, dict]:
@@ -202,25 +229,26 @@ def route(df: DataFrame, vector: list[float], index: Index | None, mode: str = "
     return search_index(df.sparkSession, index, vector, how.get("k", 10), probes), {"requested_mode": mode, "executed_mode": "ann", "fallback": False, "index": index.name}
 
 
-def upsert_index(spark: SparkSession, index: Index, rows: DataFrame) -> None:
-    """Put new versions of rows into the index: their cells of before and after are rewritten."""
-    fit = rows.where(_scored(F.col(index.column)))
+def upsert_index(spark: SparkSession, index: Index, rows: DataFrame, version: int | None = None, gone: DataFrame | None = None) -> None:
+    """Put new versions of rows into the index and take the keys of ``gone`` out: the cells of before and after are written as a new generation. Of equal new keys that with the greatest vector counts. The caller stores the manifest."""
+    fit = rows.where(_scored(F.col(index.column))).groupBy(index.key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.col(index.column)).alias("_row")).select("_row.*")
     for m in sorted({r[0] for r in fit.select(F.size(index.column)).distinct().collect()} - {len(c) for c in index.centres}):  # new lengths: one cell each
         index.centres.append([0.0] * m)
         index.probes[m] = 1
-    fresh = assign(fit, index)
-    held = spark.read.parquet(index.path)
-    touched = [r[0] for r in held.join(rows.select(index.key), index.key, "left_semi").select("_cell").union(fresh.select("_cell")).distinct().collect()]  # cells, a bounded number
-    new = held.where(F.col("_cell").isin(*touched)).join(rows.select(index.key), index.key, "left_anti").unionByName(fresh.select(*held.columns))
-    staged = f"{index.path}__staged"
-    new.write.mode("overwrite").partitionBy("_cell").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_cell").parquet(index.path)
+    keys = (rows.select(index.key) if gone is None else rows.select(index.key).unionByName(gone.select(index.key))).distinct()
+    held, fresh = index.rows(spark), assign(fit, index)
+    touched = sorted(r[0] for r in held.join(keys, index.key, "left_semi").select("_cell").union(fresh.select("_cell")).distinct().collect())  # cells, a bounded number
+    if touched:
+        index.write(held.where(F.col("_cell").isin(*touched)).join(keys, index.key, "left_anti").unionByName(fresh.select(*held.columns)), index.generation + 1)
+        index.generation += 1
+        index.newer |= dict.fromkeys(touched, index.generation)
+    index.source_version = index.source_version if version is None else version
 
 
 def recall(df: DataFrame, index: Index, queries: list[list[float]], k: int = 10, probes: int | None = None) -> float:
     """The share of the exact k best that the index finds."""
     hit = 0
     for v in queries:
-        exact = {r[0] for r in search(df, v, k, index.metric, key=index.key, column=index.column).select(index.key).collect()}
+        exact = {r[0] for r in search(df, v, k, index.metric, key=index.key, column=index.column, payload=False).select(index.key).collect()}
         hit += len(exact & {r[0] for r in search_index(df.sparkSession, index, v, k, probes).select(index.key).collect()})
     return hit / max(1, k * len(queries))

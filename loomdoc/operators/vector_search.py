@@ -1,4 +1,10 @@
-"""Exact vector search: filters first, then the k best scores, ties by id."""
+"""Exact vector search: filters first, then the k best scores, ties by id.
+
+One pass over the vectors: each task scores its batches by numpy and reports its k best keys
+for each query, and only those are merged. Other columns of the winners, if asked for, are
+looked up by key afterwards; which of several rows of a key won is told by a hash of its
+vector, so that no score is ever computed twice and compared.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +15,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdoc.functions.values import is_number
 from loomdoc.functions.vectors import METRICS, sparse_score
 from loomdoc.operators.filters import predicate
+from loomdoc.sources.scratch import scratch
 
 MOST_NUMBERS, MOST_SPACES, MOST_DIMENSIONS = 1_000_000, 64, 1_000_000_000
 #: Query vectors that are broadcast at once.
@@ -82,8 +89,10 @@ def space_column(df: DataFrame, name: str | None, default: str) -> Column:
     raise VectorError(f"no space {name!r}")
 
 
-def search(df: DataFrame, vector: list[float], k: int = 10, metric: str = "cosine", query: Any = None, modality: str | None = None, name: str | None = None, key: str = "id", column: str = "vector") -> DataFrame:
-    """The k nearest rows with their score. Rows that lack the vector, have another length or no finite score take no part; of repeated ids the best row counts."""
+def search(
+    df: DataFrame, vector: list[float], k: int = 10, metric: str = "cosine", query: Any = None, modality: str | None = None, name: str | None = None, key: str = "id", column: str = "vector", payload: bool = True,
+) -> DataFrame:
+    """The k nearest rows with their score; key and score alone without ``payload``. Rows that lack the vector, have another length or no finite score take no part; of repeated ids the best row counts."""
     v = checked_dense(vector)
     if k <= 0:
         raise VectorError("k is at least 1")
@@ -92,7 +101,26 @@ def search(df: DataFrame, vector: list[float], k: int = 10, metric: str = "cosin
     df = df.where(predicate(query, df.schema))
     if modality is not None:
         df = df.where(F.col("modality") == modality)
-    return top(df.withColumn("score", dense_score(metric, space_column(df, name, column), v)), k, key)
+    c = space_column(df, name, column)
+    near = _ranked(df, c, {len(v): (np.zeros(1, int), np.array([v], float))}, metric, k, key)
+    winners = near.orderBy(F.desc("score"), "id").limit(k)
+    if not payload:
+        return winners.select(F.col("id").alias(key), "score")
+    won = F.broadcast(winners.select("id", "score", "mark"))  # k rows
+    rows = df.join(won, (df[key] == won["id"]) & (_mark(c) == won["mark"])).dropDuplicates([key])
+    return rows.select(*(df[x] for x in df.columns if x != "score"), won["score"]).orderBy(F.desc("score"), F.asc(key)).limit(k)
+
+
+def _mark(c: Column) -> Column:
+    return F.xxhash64(c.cast("array<double>"))
+
+
+def _ranked(df: DataFrame, c: Column, block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int, key: str) -> DataFrame:
+    """q, id, score and mark of the tasks' best rows for a block of queries, one for each query and id."""
+    rows = df.where(c.isNotNull()).select(F.col(key).alias("id"), c.cast("array<double>").alias("v"), _mark(c).alias("mark"))
+    kinds = f"q int, id {df.schema[key].dataType.simpleString()}, score double, mark long"
+    best = rows.mapInPandas(_best(block, metric, k), kinds)  # k rows of each query and task at most
+    return best.groupBy("q", "id").agg(F.max(F.struct("score", "mark")).alias("b")).select("q", "id", "b.score", "b.mark")
 
 
 def search_sparse(df: DataFrame, vector: dict, k: int = 10, metric: str = "dot", query: Any = None, name: str | None = None, key: str = "id", column: str = "vector") -> DataFrame:
@@ -104,73 +132,76 @@ def search_sparse(df: DataFrame, vector: dict, k: int = 10, metric: str = "dot",
     return top(df.withColumn("score", F.when(c["dimensions"] == vector["dimensions"], near)), k, key)
 
 
-def dense_score(metric: str, column: Column, vector: list[float]) -> Column:
-    """Scores by one query vector: a batch at a time by numpy, several times as fast as lambdas over arrays, which Spark interprets."""
-    q = np.array([vector], float)
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            out = np.full(len(b), np.nan)
-            rows = np.flatnonzero(b.map(lambda x: x is not None and len(x) == q.shape[1]).to_numpy(bool))
-            if len(rows):
-                s = _scores(metric, np.array(b.iloc[rows].tolist(), float), q)[:, 0]
-                out[rows] = np.where(np.isfinite(s), s, np.nan)  # not finite: null
-            yield pd.Series(out)
-
-    return scored(column.cast("array<double>"))
-
-
 def top(scored: DataFrame, k: int, key: str) -> DataFrame:
-    """The k best rows, one for each key, ties by key. Only keys and scores are ranked; the payload of the k winners is looked up afterwards."""
-    ranked = scored.where(F.col("score").isNotNull()).groupBy(key).agg(F.max("score").alias("_best")).orderBy(F.desc("_best"), F.asc(key)).limit(k)
-    best = F.broadcast(ranked.withColumnRenamed(key, "_key"))  # k rows
-    rows = scored.join(best, (scored[key] == F.col("_key")) & (scored["score"] == F.col("_best"))).dropDuplicates([key])
-    return rows.drop("_key", "_best").orderBy(F.desc("score"), F.asc(key)).limit(k)
+    """The k best rows of a table with scores, one for each key, ties by key. The rows themselves are reduced, not looked up."""
+    columns = [F.col(f"`{c}`") for c in scored.columns]
+    best = scored.where(F.col("score").isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), "score").alias("_row"))
+    return best.orderBy(F.desc("_row.score"), F.asc(key)).limit(k).select("_row.*")
 
 
 def _scores(metric: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Scores of all rows of v by all rows of q; not finite where there is none."""
+    """Scores of all rows of v by all rows of q; not finite where a row has a component that is not. Sums that overflow are formed again from scaled vectors; a score beyond all doubles is an error."""
     kind = METRICS[metric]
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        if kind == "l2":
-            return -np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q], 1)
         dot = v @ q.T
-        if kind == "dot":
-            return dot
-        sizes = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None]
-        out = np.where(sizes < 1e-12, 0.0, dot / np.maximum(sizes, 1e-300))
-        large = ~(np.isfinite(dot) & np.isfinite(sizes)) & np.isfinite(v).all(1)[:, None]
-        for i, j in np.argwhere(large):
-            a, b = v[i] / max(np.abs(v[i]).max(), 1e-300), q[j] / max(np.abs(q[j]).max(), 1e-300)
-            out[i, j] = a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
-        return out
-
-
-def _best(block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int):
-    """A task's k best rows of each query: (place of the query, id, score)."""
+        if kind == "l2":
+            out = -np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q], 1)
+        elif kind == "dot":
+            out = dot
+        else:
+            sizes = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None]
+            out = np.where(sizes < 1e-12, 0.0, dot / np.maximum(sizes, 1e-300))
+            out[~(np.isfinite(dot) & np.isfinite(sizes))] = np.nan
+        for i, j in np.argwhere(~np.isfinite(out) & np.isfinite(v).all(1)[:, None]):
+            out[i, j] = _scaled(kind, v[i], q[j])
+    return out
+
+
+def _scaled(kind: str, a: np.ndarray, b: np.ndarray) -> float:
+    """The score of two vectors whose sums leave the doubles, by parts of 1 at most."""
+    pa, pb = max(np.abs(a).max(), 1e-300), max(np.abs(b).max(), 1e-300)
+    if kind == "l2":
+        p = max(pa, pb)
+        size = np.linalg.norm(a / p - b / p)
+        score = -float(size) * p
+    elif kind == "dot":
+        score = float((a / pa) @ (b / pb)) * pa * pb
+    else:
+        x, y = a / pa, b / pb
+        return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
+    if not isfinite(score):
+        raise VectorError("vector_score_out_of_range")
+    return score
+
+
+def _best(block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int, meets: dict[int, set[int]] | None = None):
+    """A task's k best ids of each query: (place of the query, id, score, mark). meets: the queries (by place) that rows of a cell are held against; all of them without it."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def cut() -> pd.DataFrame:
-            rows = pd.concat(held).sort_values(["q", "score", "id"], ascending=[True, False, True])
+            rows = pd.concat(held).sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").drop_duplicates(["q", "id"])
             return rows.groupby("q", sort=False).head(k)
 
         for b in batches:
             sizes = b["v"].map(lambda x: -1 if x is None else len(x)).to_numpy()
             for n, (places, q) in block.items():
-                rows = np.flatnonzero(sizes == n)
-                if not len(rows):
-                    continue
-                s = _scores(metric, np.array(b["v"].iloc[rows].tolist(), float), q)
-                ids = b["id"].to_numpy()[rows]
-                for j, place in enumerate(places):
-                    x = s[:, j]
-                    at = np.flatnonzero(np.isfinite(x))
-                    if len(at) > k:
-                        at = at[x[at] >= np.partition(x[at], len(at) - k)[len(at) - k]]
-                    held.append(pd.DataFrame({"q": np.full(len(at), place), "id": ids[at], "score": x[at]}))
+                here = np.flatnonzero(sizes == n)
+                cells = b["cell"].to_numpy()[here] if meets is not None else np.zeros(len(here), int)
+                for cell in np.unique(cells):
+                    asked = np.array([i for i, p in enumerate(places) if meets is None or p in meets.get(int(cell), ())], int)
+                    rows = here[cells == cell]
+                    if not len(asked) or not len(rows):
+                        continue
+                    s = _scores(metric, np.stack(b["v"].iloc[rows].to_numpy()).astype(float), q[asked])
+                    ids, marks = b["id"].to_numpy()[rows], b["mark"].to_numpy()[rows]
+                    for j, place in enumerate(places[asked]):
+                        x = s[:, j]
+                        at = np.flatnonzero(np.isfinite(x))
+                        if len(at) > k and len(set(ids[at])) == len(at):
+                            at = at[x[at] >= np.partition(x[at], len(at) - k)[len(at) - k]]
+                        held.append(pd.DataFrame({"q": np.full(len(at), place), "id": ids[at], "score": x[at], "mark": marks[at]}))
             if sum(map(len, held)) > 100_000 + 2 * k * sum(len(p) for p, _ in block.values()):
                 held = [cut()]
         if held:
@@ -182,25 +213,32 @@ def _best(block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int):
 def search_many(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "id", column: str = "vector", query_key: str = "query_id", block: int = BLOCK) -> DataFrame:
     """query_id, rank, id, score of the k nearest rows for each query vector (query_id, vector).
 
-    Queries come in blocks of a counted size, which the driver holds one at a time; tasks
-    score a batch of rows by a whole block at once and report k rows of each query.
+    Queries come in blocks of a counted size. Tasks score a batch of rows by a whole block at
+    once and report k rows of each query. One block is answered lazily; several are answered
+    one after the other and written below the shared folder, so that neither the driver nor
+    the plan ever holds more than one.
     """
     if metric not in METRICS:
         raise VectorError(f"unknown metric {metric!r}")
-    spark = df.sparkSession
-    parts = max(1, ceil(queries.count() / block))
-    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
-    kinds = f"q int, id {df.schema[key].dataType.simpleString()}, score double"
-    out = None
+    return in_blocks(df.sparkSession, queries, query_key, block, lambda held, _: _ranked(df, F.col(column), held, metric, k, key), k)
+
+
+def in_blocks(spark: SparkSession, queries: DataFrame, query_key: str, block: int, answer, k: int) -> DataFrame:
+    """query_id, rank, id, score over all blocks of queries; answer(vectors by length, queries) gives (q, id, score) of one."""
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
+    parts, path, kind, out = max(1, ceil(asked.count() / block)), None, queries.schema[query_key].dataType, None
     for p in range(parts):
-        mine = queries.where(F.pmod(F.hash(query_key), F.lit(parts)) == p) if parts > 1 else queries
-        asked = mine.where("vector is not null").select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q")).collect()  # at most about ``block``
+        mine = (asked.where(F.pmod(F.hash("query_id"), F.lit(parts)) == p) if parts > 1 else asked).collect()  # about ``block``
         by: dict[int, list[int]] = {}
-        for i, r in enumerate(asked):
+        for i, r in enumerate(mine):
             by.setdefault(len(r.q), []).append(i)
-        held = {n: (np.array(at), np.array([asked[i].q for i in at], float)) for n, at in by.items() if n}
-        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", queries.schema[query_key].dataType)]))
+        held = {n: (np.array(at), np.array([mine[i].q for i in at], float)) for n, at in by.items() if n}
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(mine)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", kind)]))
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-        best = rows.mapInPandas(_best(held, metric, k), kinds).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(F.broadcast(names), "q")
-        out = best if out is None else out.unionByName(best)
-    return out.select("query_id", "rank", "id", "score")
+        best = answer(held, mine).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("query_id", "rank", "id", "score")
+        if parts == 1:
+            return best
+        path = path or scratch(spark, "searches")
+        best.write.mode("append").parquet(path)
+        out = best.schema
+    return spark.read.schema(out).parquet(path)
