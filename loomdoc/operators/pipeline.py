@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,42 +65,80 @@ def sort_keys(spec: dict, schema: T.StructType, tie: str | None) -> list[Column]
 
 def aggregate(df: DataFrame, pipeline: list, tie: str | None = None) -> DataFrame:
     """The pipeline's documents. ``tie`` names the key that keeps rows of equal sort keys in a fixed order."""
-    return _run(df, checked(pipeline), tie, lambda d, i, op: d)
-
+    for op, body in checked(pipeline):
+        df = _stage(df, op, body, tie)
+    return df
 
-def aggregate_counted(df: DataFrame, pipeline: list, tie: str | None = None) -> tuple[DataFrame, list[dict]]:
-    """The documents, and per stage its name and a counter of its output, filled once the documents were computed."""
-    counters: list[dict] = []
 
-    def watch(d: DataFrame, i: int, op: str) -> DataFrame:
-        seen = Observation(f"stage_{i}")
-        counters.append({"stage": op, "output": seen})
-        return d.observe(seen, F.count(F.lit(1)).alias("n"))
+def aggregate_counted(df: DataFrame, pipeline: list, tie: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents, and one row for each stage: position (from 0), stage, input_count, output_count.
 
-    first = Observation("input")
-    out = _run(df.observe(first, F.count(F.lit(1)).alias("n")), checked(pipeline), tie, watch)
-    return out, [{"stage": "input", "output": first}, *counters]
+    The counts are those of the whole stages, whatever Spark reads to answer a limit: rows are
+    counted at the start and after each $match, the rest follows from these numbers.
+    """
+    counted, places, stages = [], [], checked(pipeline)
+    known: list[Column] = []
 
+    def measure(d: DataFrame) -> Column:
+        counted.append(d.agg(F.count(F.lit(1)).alias(f"n{len(counted)}")))
+        return F.col(f"n{len(counted) - 1}")
 
-def _run(df: DataFrame, stages: list[tuple[str, Any]], tie: str | None, watch) -> DataFrame:
-    skipped: int | None = None
+    known.append(measure(df))
     for i, (op, body) in enumerate(stages):
-        match op:
-            case "$match":
-                df = df.where(predicate(body, df.schema))
-            case "$project":
-                names = [n for n in sorted(body) if n in df.schema.fieldNames()]  # by literal name, without an implied key
-                df = df.select(*(F.col(f"`{n}`") for n in names))
-            case "$sort":
-                df = df.orderBy(*sort_keys(body, df.schema, tie))
-            case "$skip":
-                df = df.offset(body)
-            case "$limit":
-                df = df.limit(body)
-            case "$count":
-                df = df.agg(F.count(F.lit(1)).alias(body))
-        df = watch(df, i, op)
-    return df
+        df, n = _stage(df, op, body, tie), known[-1]
+        if op == "$match":
+            n = measure(df)
+        elif op == "$skip":
+            n = F.greatest(n - body, F.lit(0))
+        elif op == "$limit":
+            n = F.least(n, F.lit(body))
+        elif op == "$count":
+            n = F.lit(1)
+        places.append(F.struct(F.lit(i).alias("position"), F.lit(op).alias("stage"), known[-1].cast("long").alias("input_count"), n.cast("long").alias("output_count")))
+        known.append(n)
+    row = reduce(lambda a, b: a.join(F.broadcast(b)), counted)  # one row each
+    kind = "array<struct<position: int, stage: string, input_count: bigint, output_count: bigint>>"
+    return df, row.select(F.explode(F.array(*places).cast(kind)).alias("s")).select("s.*")
+
+
+def _stage(df: DataFrame, op: str, body: Any, tie: str | None) -> DataFrame:
+    match op:
+        case "$match":
+            return df.where(predicate(body, df.schema))
+        case "$project":
+            names = [n for n in sorted(body) if n in df.schema.fieldNames()]  # by literal name, without an implied key
+            return df.select(*(F.col(f"`{n}`") for n in names))
+        case "$sort":
+            return df.orderBy(*sort_keys(body, df.schema, tie))
+        case "$skip":
+            return df.offset(body)
+        case "$limit":
+            return df.limit(body)
+        case "$count":
+            return df.agg(F.count(F.lit(1)).alias(body))
+    raise PipelineError(f"unsupported stage {op}")
+
+
+def variant_sort_key(column: Column) -> list[Column]:
+    """Keys that order the values of a VARIANT column as one key: numbers among themselves by value, strings by their text, and all else, and values of different types, by their JSON text."""
+    tag = F.coalesce(F.schema_of_variant(column), F.lit("VOID"))
+    number = reduce(lambda a, b: a | b, [tag.startswith(x) for x in ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT")])
+    text = F.when(column.isNull() | (tag == "VOID"), F.lit("null")).otherwise(F.to_json(column))
+    # Texts of JSON start with a quote, a sign or digit, [, f, n, t or {: numbers stand together there.
+    group = F.when(tag.startswith("STRING"), 0).when(number, 1).otherwise(2)
+    value = F.when(number, F.try_variant_get(column, "$", "double"))
+    return [group, value, F.when(tag.startswith("STRING"), F.try_variant_get(column, "$", "string")).otherwise(F.when(~number, text))]
+
+
+def sort_documents(df: DataFrame, spec: dict, column: str, tie: str | None = None) -> DataFrame:
+    """$sort over VARIANT documents: fields of mixed types, a missing field counts as null."""
+    keys = []
+    for name in sorted(spec):
+        if "'" in name or "\\" in name:
+            raise PipelineError(f"cannot sort by {name!r}")
+        for c in variant_sort_key(F.try_variant_get(F.col(column), f"$['{name}']", "variant")):
+            keys.append(c.asc_nulls_first() if spec[name] == 1 else c.desc_nulls_last())
+    return df.orderBy(*keys, *([F.col(tie).asc_nulls_last()] if tie else []))
 
 
 def script_aggregate(df: DataFrame, pipeline: list, most: int = 5000, key: str = "id") -> DataFrame:

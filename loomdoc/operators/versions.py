@@ -50,11 +50,12 @@ def latest(df: DataFrame, key: str = "id", seq: str | None = None, deleted: str
     """The newest version of each key, without tombstones.
 
     Versioned rows are newer than unversioned ones; of equal versions the later in ``seq``
-    wins. max_by keeps one row per key on each side of the shuffle, so that a key with many
+    wins, or without it the later as the log lies. max_by keeps one row per key on each side of the shuffle, so that a key with many
     versions stays small.
     """
-    order = F.struct(*(c for c in (F.coalesce(by if by is not None else version(df), F.lit(-(1 << 63))), F.col(seq) if seq else None) if c is not None))
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row")).select("_row.*")
+    order = F.struct(F.coalesce(by if by is not None else version(df), F.lit(-(1 << 63))).alias("v"), F.col(seq or "_place").alias("s"))
+    placed = df if seq else df.withColumn("_place", F.monotonically_increasing_id())
+    newest = placed.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row")).select("_row.*")
     if deleted and deleted in df.columns:
         newest = newest.where(~F.coalesce(F.col(deleted), F.lit(False)))
     return newest

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdoc.operators.filters import find_one, predicate
+from loomdoc.sources.scratch import scratch
 
 ABSENT = object()
 
@@ -94,35 +96,105 @@ def tombstones(df: DataFrame, query: Any, at: int) -> DataFrame:
     return hit.withColumns({"_deleted": F.lit(True), "deleted_txn": F.lit(at).cast("long"), "_mvcc_version": F.lit(at).cast("long")})
 
 
-def upsert(df: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """The table with rows inserted; a row with a known key replaces the old one, the last of equal new keys wins by all its columns."""
-    return df.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+def newest(rows: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``seq``, or as the rows lie. Rows without a key all stay."""
+    if rows.isStreaming:
+        raise WriteError("a stream has no last row")
+    named = rows.where(F.col(key).isNotNull()).withColumn("_at", F.col(seq) if seq else F.monotonically_increasing_id())
+    last = named.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), "_at").alias("_row")).select("_row.*")
+    return last.unionByName(rows.where(F.col(key).isNull()))
 
 
-def insert_once(df: DataFrame, rows: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Idempotent insert by key and content: (new rows, conflicts with another content under the same key)."""
-    hashed = lambda d: d.withColumn("_h", F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(d.columns)))), 256))
+def upsert(df: DataFrame, rows: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
+    """The table with rows inserted; a row with a known key replaces the old one, of equal new keys the last wins (by ``seq``, or as the rows lie). Rows without a key are added."""
+    new = newest(rows, key, seq)
+    return df.join(rows.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def insert_once(df: DataFrame, rows: DataFrame, key: str = "id", seq: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Idempotent insert by key and content: (new rows, conflicts with another content under the same key). Of new rows with one key the first counts; the same again is a duplicate, another content a conflict."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    hashed = lambda d: d.withColumn("_h", F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))), {"ignoreNullFields": "false"}), 256))
+    placed = hashed(rows).withColumn("_at", F.col(seq) if seq else F.monotonically_increasing_id())
+    named, bare = placed.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    firsts = named.groupBy(key).agg(F.min_by(F.struct("_h", F.struct(*columns).alias("_row")), "_at").alias("_first")).select(F.col(key).alias("_k"), "_first")
     known = hashed(df.select(*rows.columns)).select(F.col(key).alias("_k"), F.col("_h").alias("_old"))
-    seen = hashed(rows).join(known, F.col(key) == F.col("_k"), "left")
-    return seen.where("_k is null").select(*rows.columns), seen.where("_old != _h").select(*rows.columns)
+    held = firsts.join(known, "_k", "left")
+    new = held.where("_old is null").select("_first._row.*").unionByName(bare)
+    right = held.select("_k", F.coalesce("_old", "_first._h").alias("_right"))
+    clash = named.join(right, F.col(f"`{key}`") == F.col("_k")).where("_h != _right").select(*columns)
+    return new, clash
+
+
+#: Steps of a bulk between two writes of the table, so that the plan stays small.
+MOST_STEPS = 50
 
 
 def bulk(df: DataFrame, operations: list[dict], key: str = "id") -> tuple[DataFrame, list[dict]]:
-    """Ordered operations; one that fails is reported as {index, error} and the others go on."""
-    spark, errors = df.sparkSession, []
+    """Ordered operations; one that fails is reported as {index, error} and the others go on.
+
+    Inserts that follow each other are one step, and so are deletes by key; after MOST_STEPS
+    steps the table is written to the shared folder and read again.
+    """
+    spark, errors, steps = df.sparkSession, [], 0
+    waiting: list = []  # documents to insert, or keys to delete
+    mode = ""
+
+    def done(now: DataFrame) -> DataFrame:
+        nonlocal steps
+        steps += 1
+        if steps % MOST_STEPS:
+            return now
+        path = scratch(spark, "bulk")
+        now.write.parquet(path)
+        return spark.read.schema(now.schema).parquet(path)
+
+    def flush() -> None:
+        nonlocal df, waiting, mode
+        if waiting and mode == "insert":
+            rows = spark.createDataFrame([(i, *r) for i, r in enumerate(waiting)], T.StructType([T.StructField("_at", T.LongType()), *df.schema.fields]))
+            last = rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), "_at").alias("_row")).select("_row.*")
+            df = done(df.join(rows.select(key).distinct(), key, "left_anti").unionByName(last))
+        elif waiting:
+            df = done(df.join(F.broadcast(spark.createDataFrame([(k,) for k in waiting], T.StructType([df.schema[key]]))), key, "left_anti"))
+        waiting, mode = [], ""
+
+    def wait(kind: str, items: list) -> None:
+        nonlocal waiting, mode
+        if mode != kind:
+            flush()
+        mode, waiting = kind, [*waiting, *items]
+
+    def row(document: Any) -> tuple:
+        if not isinstance(document, dict):
+            raise WriteError("a document is an object")
+        if document.get(key) is None:
+            raise WriteError(f"a document lacks {key!r}")
+        made = tuple(document.get(f.name) for f in df.schema.fields)
+        spark.createDataFrame([made], df.schema)  # its types are looked at now, so that the error is its own
+        return made
+
     for i, op in enumerate(operations):
         try:
             ((name, body),) = op.items()
+            by_key = isinstance(q := body.get("filter"), dict) and list(q) == [key] and isinstance(q[key], (str, int)) and not isinstance(q[key], bool)
             if name == "insertOne":
-                df = upsert(df, spark.createDataFrame([body["document"]], df.schema), key)
+                wait("insert", [row(body["document"])])
             elif name == "insertMany":
-                df = upsert(df, spark.createDataFrame([d for d in body["documents"] if isinstance(d, dict)], df.schema), key)
-            elif name in ("updateOne", "updateMany"):
-                df = update_one(df, body.get("filter"), body["update"], key) if name == "updateOne" else update_many(df, body.get("filter"), body["update"])
-            elif name in ("deleteOne", "deleteMany"):
-                df = delete_one(df, body.get("filter"), key) if name == "deleteOne" else delete_many(df, body.get("filter"))
+                wait("insert", [row(d) for d in body["documents"] if isinstance(d, dict)])
+            elif name in ("deleteOne", "deleteMany") and by_key and isinstance(q[key], str) == isinstance(df.schema[key].dataType, T.StringType):
+                wait("delete", [q[key]])
+            elif name in ("updateOne", "updateMany", "deleteOne", "deleteMany"):
+                flush()
+                if name == "updateMany" or name == "updateOne" and by_key:  # keys are unique, so that no first one is looked for
+                    df = done(update_many(df, q, body["update"]))
+                elif name == "updateOne":
+                    df = done(update_one(df, q, body["update"], key))
+                else:
+                    df = done(delete_one(df, q, key) if name == "deleteOne" else delete_many(df, q))
             else:
                 raise WriteError(f"unknown operation {name}")
-        except (ValueError, KeyError, TypeError, AttributeError) as e:
+        except (ValueError, KeyError, TypeError, AttributeError, PySparkException) as e:
             errors.append({"index": i, "error": str(e)})
+    flush()
     return df, errors
