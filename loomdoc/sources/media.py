@@ -85,6 +85,38 @@ def orphans(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(live.select("media_id"), "media_id", "left_anti")
 
 
+def aborted(manifests: DataFrame, ids: DataFrame) -> DataFrame:
+    """The manifests, with the uploads under way of these media_ids given up. What is done, failed or aborted already stays as it is."""
+    hit = ids.select("media_id", F.lit(True).alias("_hit")).distinct()
+    open_ = F.col("state").isin(*(s for s, to in MOVES.items() if "aborted" in to))
+    return manifests.join(hit, "media_id", "left").withColumn("state", F.when(F.col("_hit") & open_, "aborted").otherwise(F.col("state"))).select(*manifests.columns)
+
+
+def deleted(manifests: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without these media_ids."""
+    gone = ids.select("media_id").distinct()
+    return manifests.join(gone, "media_id", "left_anti"), chunks.join(gone, "media_id", "left_anti")
+
+
+def cleaned(manifests: DataFrame, chunks: DataFrame, before_ms: int, at: str = "updated_at_ms") -> tuple[DataFrame, DataFrame]:
+    """Both tables without uploads that were given up, failed or not touched since a time, and without chunks that have no manifest."""
+    over = (F.col("state") != "ready") & (F.coalesce(F.col(at), F.lit(0)) < before_ms)
+    left = manifests.where(~over)
+    return left, chunks.join(left.select("media_id"), "media_id", "left_semi")
+
+
+def reconciled(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The manifests, those called ready but short of chunks as failed, with the reason; nothing is decoded."""
+    held = accepted(chunks).groupBy("media_id").agg(F.count("*").alias("_held"))
+    short = (F.col("state") == "ready") & (F.coalesce("_held", F.lit(0)) != F.col("chunks"))
+    both = manifests.drop("reason").join(held, "media_id", "left")
+    reason = F.when(short, "media_chunks_missing")
+    if "reason" in manifests.columns:
+        both = both.join(manifests.select("media_id", F.col("reason").alias("_said")), "media_id")
+        reason = reason.otherwise(F.col("_said"))
+    return both.withColumns({"reason": reason, "state": F.when(short, "failed").otherwise(F.col("state"))}).drop("_held", "_said")
+
+
 def summary(manifests: DataFrame) -> DataFrame:
     return manifests.groupBy("state").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
@@ -100,4 +132,4 @@ def inline(files: DataFrame) -> DataFrame:
     return files.select(F.col("media_id").alias("id"), F.lit("media").alias("kind"), F.base64("content").alias("data"), F.length("content").cast("long").alias("size"))
 
 
-__all__ = ["accepted", "chunked", "content", "inline", "listed", "moved", "orphans", "summary", "verified"]
+__all__ = ["aborted", "accepted", "chunked", "cleaned", "content", "deleted", "inline", "listed", "moved", "orphans", "reconciled", "summary", "verified"]
