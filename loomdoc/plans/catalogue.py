@@ -13,7 +13,8 @@ from loomdoc.functions.vectors import sparse_score
 from loomdoc.functions.values import Variant
 from loomdoc.operators import ann, english, filters, indexes, lexical, pipeline, vector_search, versions, writes
 from loomdoc.sources import media
-from loomdoc.sources.scratch import scratch
+from loomdoc.sources.scratch import file_states, scratch
+from loomdoc.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +63,11 @@ FILTERS: dict[str, tuple[str, tuple[str, ...], dict, str]] = {
     "filter_unknown_operator": ("supplier", ("s_suppkey",), {"s_name": {"$near": 1}}, "false"),
     "filter_exists": ("part", ("p_partkey",), {"p_brand": {"$exists": True}, "p_missing": {"$exists": False}}, "p_brand is not null"),
     "filter_type": ("part", ("p_partkey",), {"$and": [{"p_size": {"$type": "int"}}, {"p_retailprice": {"$type": 1}}, {"p_name": {"$type": "string"}}]}, "true"),
-    "filter_regex": ("part", ("p_partkey",), {"p_name": {"$regex": "^[A-M].*[0-9]$", "$options": "i"}}, "regexp_matches(p_name, '^[A-M].*[0-9]$', 'i')"),
+    "filter_regex": ("part", ("p_partkey",), {"p_name": {"$regex": "^[A-M].*[R-Z]$", "$options": "i"}}, "regexp_matches(p_name, '^[A-M].*[R-Z]$', 'i')"),
+    "filter_regex_plain": ("part", ("p_partkey",), {"p_name": {"$regex": "^.[a-m]+ .*t$"}}, "regexp_matches(p_name, '^.[a-m]+ .*t$')"),
+    "filter_regex_class": ("documents", ("doc_id",), {"text": {"$regex": "[[:digit:]]{3}"}}, "regexp_matches(text, '[[:digit:]]{3}')"),
+    "filter_regex_nested": ("supplier", ("s_suppkey",), {"s_name": {"$regex": "(0+)+1$"}}, "regexp_matches(s_name, '(0+)+1$')"),
+    "filter_regex_either": ("part", ("p_partkey",), {"p_name": {"$regex": "(red|blue) (ring|b.l)"}}, "regexp_matches(p_name, '(red|blue) (ring|b.l)')"),
     "filter_regex_and": ("part", ("p_partkey",), {"p_type": {"$regex": "A"}, "p_size": {"$ne": 7}}, "regexp_matches(p_type, 'A') and p_size <> 7"),
     "filter_text": ("documents", ("doc_id",), {"text": {"$text": {"$search": "THE On"}}}, "contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the on')"),
     "filter_vector_threshold": (
@@ -177,6 +182,16 @@ def pipeline_project(spark, sf_dir):
     return pipeline.aggregate(table(spark, sf_dir, "customer"), [{"$match": {"c_acctbal": {"$lt": 0}}}, {"$project": {"c_name": 1, "c_acctbal": True, "address.city": 1}}])
 
 
+@query(
+    """with m as (select count(*) as n from orders where o_orderstatus = 'O'), p as (select count(*) as n from (select * from orders where o_orderstatus = 'O' order by o_totalprice desc, o_orderkey limit 40 offset 10) where o_orderpriority = '1-URGENT')
+    select * from (values (0, '$match', (select count(*) from orders), (select n from m)), (1, '$sort', (select n from m), (select n from m)), (2, '$skip', (select n from m), (select n from m) - 10), (3, '$limit', (select n from m) - 10, 40),
+        (4, '$match', 40, (select n from p)), (5, '$count', (select n from p), 1)) t(position, stage, input_count, output_count)"""
+)
+def pipeline_counters(spark, sf_dir):
+    stages = [{"$match": {"o_orderstatus": "O"}}, {"$sort": {"o_totalprice": -1}}, {"$skip": 10}, {"$limit": 40}, {"$match": {"o_orderpriority": "1-URGENT"}}, {"$count": "n"}]
+    return pipeline.aggregate_counted(table(spark, sf_dir, "orders"), stages, "o_orderkey")[1]
+
+
 @query("select count(*) as n from lineitem where l_shipdate < timestamp '1995-06-01'")
 def pipeline_count(spark, sf_dir):
     return pipeline.aggregate(table(spark, sf_dir, "lineitem"), [{"$match": {"l_shipdate": {"$lt": "1995-06-01"}}}, {"$count": "n"}])
@@ -216,9 +231,16 @@ def count_filtered(spark, sf_dir):
 
 @query("select c_custkey, c_acctbal from customer where c_acctbal > 5000 and c_mktsegment = 'BUILDING' order by c_acctbal desc, c_custkey limit 7")
 def english_question(spark, sf_dir):
+    """Read by the grammar's tokens."""
     return english.ask(table(spark, sf_dir, "customer"), "top 7 customers where c_acctbal is above 5000 and c_mktsegment is BUILDING sort by c_acctbal desc", "c_custkey").select("c_custkey", "c_acctbal")
 
 
+@query("select c_custkey from customer where c_mktsegment <> 'BUILDING' and c_nationkey <= 10 and c_acctbal >= 100 order by c_name limit 12")
+def english_several(spark, sf_dir):
+    said = "which customers whose c_mktsegment is not \"BUILDING\" and c_nationkey at most 10 and c_acctbal >= 100 ordered by c_name asc, limit 12"
+    return english.ask(table(spark, sf_dir, "customer"), said, "c_custkey").select("c_custkey")
+
+
 # Versions -----------------------------------------------------------------------------
 
 _LATEST = "select * from (select *, row_number() over (partition by user_id order by event_id desc) as r from events{}) where r = 1"
@@ -297,7 +319,80 @@ def bulk_upsert(spark, sf_dir):
     return writes.upsert(s, rows, "s_suppkey")
 
 
-@query("select n_nationkey, case when n_nationkey = 1 then 'one' else n_name end as n_name from nation where n_nationkey <> 2 union all select 100, 'hundred'")
+@query("select s_suppkey, case when s_suppkey % 10 = 0 then 'second' else s_name end as s_name from supplier union all select s_suppkey + 1000000, 'second' from supplier where s_suppkey % 10 = 1")
+def upsert_repeated(spark, sf_dir):
+    """Two new rows for each key: the last one wins."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    new = s.where("s_suppkey % 10 = 0").unionByName(s.where("s_suppkey % 10 = 1").withColumn("s_suppkey", F.col("s_suppkey") + 1000000))
+    rows = new.withColumn("n", F.explode(F.array(F.lit(2), F.lit(1)))).withColumn("s_name", F.when(F.col("n") == 1, "first").otherwise("second"))
+    return writes.upsert(s.withColumn("n", F.lit(0)), rows, "s_suppkey", "n").drop("n")
+
+
+@query("select 'new' as found, s_suppkey, s_name from (select s_suppkey + 1000000 as s_suppkey, 'a' as s_name from supplier where s_suppkey % 3 = 0) union all select 'conflict', s_suppkey + 1000000, 'b' from supplier where s_suppkey % 3 = 0 union all select 'conflict', s_suppkey, 'other' from supplier where s_suppkey % 5 = 0")
+def insert_once(spark, sf_dir):
+    """Known rows again, known keys with other contents, and new keys with two contents, one of them twice."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(0).alias("at"))
+    fresh = s.where("s_suppkey % 3 = 0").select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("a"))).alias("s_name"))
+    rows = s.select("s_suppkey", "s_name").unionByName(s.where("s_suppkey % 5 = 0").select("s_suppkey", F.lit("other").alias("s_name"))).unionByName(fresh)
+    new, clash = writes.insert_once(s.drop("at"), rows, "s_suppkey")
+    return new.select(F.lit("new").alias("found"), "*").unionByName(clash.select(F.lit("conflict").alias("found"), "*"))
+
+
+def _suppliers(spark: SparkSession, sf_dir: str):
+    """A collection of suppliers with a base and several deltas."""
+    store = Store(spark, scratch(spark, "store"))
+    store.create_database("shop")
+    held = store.database("shop").create_collection("suppliers", table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "s_suppkey")
+    held.create_index("s_nationkey")
+    held.update_many({"s_nationkey": 3}, {"$set": {"s_name": "three"}, "$inc": {"s_acctbal": 1}})
+    held.delete_many({"s_nationkey": 4})
+    held.insert_many(spark.createDataFrame([(5, "five", 5, 5.0), (5, "cinq", 5, 6.0), (2000000, "new", 3, 0.5)], held.read().schema))
+    return held
+
+
+_SUPPLIERS = """select s_suppkey, case when s_nationkey = 3 then 'three' else s_name end as s_name, s_nationkey, case when s_nationkey = 3 then trunc(s_acctbal) + 1 else s_acctbal end::double as s_acctbal
+    from supplier where s_nationkey <> 4 and s_suppkey <> 5 union all select * from (values (5, 'cinq', 5, 6.0::double), (2000000, 'new', 3, 0.5::double)) t"""
+
+
+@query(_SUPPLIERS)
+def store_deltas(spark, sf_dir):
+    return _suppliers(spark, sf_dir).read()
+
+
+@query(_SUPPLIERS)
+def store_compacted(spark, sf_dir):
+    held = _suppliers(spark, sf_dir)
+    held.compact()
+    return held.read()
+
+
+@query(f"select * from ({_SUPPLIERS}) where s_nationkey = 3 and s_acctbal > 0")
+def store_indexed_find(spark, sf_dir):
+    """By a field index as new as the collection; the plan says so."""
+    held = _suppliers(spark, sf_dir)
+    held.rebuild_index("s_nationkey")
+    asked = {"s_nationkey": 3, "s_acctbal": {"$gt": 0}}
+    if held.explain(asked)["plan"] != "INDEX_LOOKUP":
+        raise ValueError("the index is not used")
+    return held.find(asked)
+
+
+@query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+def store_time_travel(spark, sf_dir):
+    return _suppliers(spark, sf_dir).read(1)
+
+
+@query(_SUPPLIERS)
+def store_restored(spark, sf_dir):
+    """Backed up, emptied, and restored."""
+    held, target = _suppliers(spark, sf_dir), scratch(spark, "backup")
+    held.store.backup(target)
+    held.delete_many({})
+    held.store.restore(target, "shop", "suppliers")
+    return held.read()
+
+
+@query("select n_nationkey, case when n_nationkey = 1 then 'one' else n_name end as n_name, [1] as failed from nation where n_nationkey <> 2 union all select 100, 'hundred', [1]")
 def bulk_operations(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     operations = [
@@ -306,7 +401,8 @@ def bulk_operations(spark, sf_dir):
         {"updateOne": {"filter": {"n_nationkey": 1}, "update": {"$set": {"n_name": "one"}}}},
         {"deleteOne": {"filter": {"n_nationkey": 2}}},
     ]
-    return writes.bulk(nations, operations, "n_nationkey")[0]
+    rows, errors = writes.bulk(nations, operations, "n_nationkey")
+    return rows.withColumn("failed", F.lit([e["index"] for e in errors]).cast("array<bigint>"))
 
 
 @query("select event_id from events where user_id = 7 order by event_id")
@@ -354,7 +450,7 @@ _SQL_VECTOR = "list_transform(range(64), lambda i: (((i * 37) % 64) - 32) / 64::
 
 
 def _nearest(spark, sf_dir, metric, **how):
-    rows = vector_search.search(table(spark, sf_dir, "embeddings"), _VECTOR, 10, metric, key="vec_id", column="embedding", **how)
+    rows = vector_search.search(table(spark, sf_dir, "embeddings"), _VECTOR, 10, metric, key="vec_id", column="embedding", payload=False, **how)
     return rows.select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -405,6 +501,32 @@ def vector_batch_topk(spark, sf_dir):
     return vector_search.search_many(rows, asked, 5, "cosine", "vec_id", "embedding").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+_BATCH = (
+    "select query_id, rank::int as rank, id, round(score, 6) as score from (select q.vec_id as query_id, v.vec_id as id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as score, "
+    "row_number() over (partition by q.vec_id order by list_cosine_similarity(v.embedding::double[], q.embedding::double[]) desc, v.vec_id) as rank from {0} q, {0} v where q.vec_id % 100 = 0) where rank <= 10"
+)
+
+
+@query(_BATCH.format("embeddings"))
+def ann_all_cells(spark, sf_dir):
+    """With all cells probed, approximate search is exact."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = ann.build(rows, scratch(spark, "ann"), column="embedding", key="vec_id", cells=10)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ann.search_index_many(spark, index, asked, 10, probes=10).withColumn("score", F.round("score", 6))
+
+
+@query("with moved as (select vec_id, case when vec_id % 4 = 0 then list_transform(embedding, lambda x: -x) else embedding end as embedding from embeddings where vec_id % 50 <> 7) " + _BATCH.format("moved"))
+def ann_upsert(spark, sf_dir):
+    """A quarter of the rows moved to other cells and some taken out, after the index was built."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann.build(rows, scratch(spark, "ann"), column="embedding", key="vec_id", cells=10)
+    moved = rows.where("vec_id % 4 = 0 and vec_id % 50 <> 7").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    ann.upsert_index(spark, index, moved, gone=rows.where("vec_id % 50 = 7"))
+    asked = index.rows(spark).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ann.search_index_many(spark, index, asked, 10, probes=99).withColumn("score", F.round("score", 6))
+
+
 @query()
 def ann_topk(spark, sf_dir):
     """Approximate: no SQL returns the same rows; recall is tested against exact search."""
@@ -455,14 +577,37 @@ def _bm25_sql(terms: list[str], k: int, every: bool = False, extra: str = "") ->
     select id, score from scored where hits >= {len(terms) if every else 1} order by round(score, 9) desc, id limit {k}"""
 
 
+_INDEXES: dict[tuple, lexical.LexicalIndex] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    """The inverted index of the documents, built once for a session and a state of their files, as a store keeps it beside its collection."""
+    path = f"{sf_dir}/documents.parquet"
+    state = (spark.sparkContext.applicationId, path, *file_states(spark, path))
+    if state not in _INDEXES:
+        _INDEXES[state] = lexical.build_lexical(table(spark, sf_dir, "documents"), scratch(spark, "lexical"), "doc_id")
+    return _INDEXES[state]
+
+
+def _words(spark: SparkSession, sf_dir: str, text: str, query: dict | None = None, **how) -> DataFrame:
+    found = lexical.bm25_indexed(spark, lexical_index(spark, sf_dir), text, 10, table(spark, sf_dir, "documents"), query, **how)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"select id, round(score, 6) as score from ({_bm25_sql(_TERMS, 10)})")
 def bm25_topk(spark, sf_dir):
+    return _words(spark, sf_dir, _TEXT)
+
+
+@query(f"select id, round(score, 6) as score from ({_bm25_sql(_TERMS, 10)})")
+def bm25_scan(spark, sf_dir):
+    """Without an index."""
     return lexical.bm25(table(spark, sf_dir, "documents"), _TEXT, 10, key="doc_id").select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"select id, round(score, 6) as score from ({_bm25_sql(['released', 'mit'], 10, every=True)})")
 def bm25_all_terms(spark, sf_dir):
-    return lexical.bm25(table(spark, sf_dir, "documents"), "MIT released mit", 10, every_term=True, key="doc_id").select("id", F.round("score", 6).alias("score"))
+    return _words(spark, sf_dir, "MIT released mit", every_term=True)
 
 
 _FRENCH = "and lang = 'fr'"
@@ -470,7 +615,17 @@ _FRENCH = "and lang = 'fr'"
 
 @query(f"select id, round(score, 6) as score from ({_bm25_sql(['the', 'released'], 10, extra=_FRENCH)})")
 def bm25_filtered(spark, sf_dir):
-    return lexical.bm25(table(spark, sf_dir, "documents"), "the released", 10, {"lang": "fr"}, key="doc_id").select("id", F.round("score", 6).alias("score"))
+    return _words(spark, sf_dir, "the released", {"lang": "fr"})
+
+
+@query(
+    "select term, count(distinct doc_id) as docs, count(*) as tokens from (select doc_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda t: t <> '')) as term from documents) group by 1"
+)
+def lexical_postings(spark, sf_dir):
+    """Every term of the index, with its documents and tokens."""
+    rows = spark.read.parquet(f"{lexical_index(spark, sf_dir).path}/postings").where("term is not null")
+    return rows.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tokens"))
 
 
 @query("select sum(len(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda t: t <> '')))::bigint as n from documents")
@@ -493,7 +648,7 @@ _NEAR = f"select vec_id as id, list_cosine_similarity(embedding::double[], {_SQL
     order by score desc, id limit 10"""
 )
 def hybrid_topk(spark, sf_dir):
-    return lexical.hybrid(_hybrid_docs(spark, sf_dir), _VECTOR, _TEXT, 10, key="doc_id", column="embedding").select("id", F.round("score", 6).alias("score"))
+    return lexical.hybrid(_hybrid_docs(spark, sf_dir), _VECTOR, _TEXT, 10, key="doc_id", column="embedding", index=lexical_index(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(

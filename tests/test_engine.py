@@ -39,6 +39,14 @@ def test_updates(spark):
     assert sorted(r.id for r in rows.collect()) == [2, 3, 9] and [e["index"] for e in errors] == [1, 3]
     new, conflicts = writes.insert_once(df.select("id", "s"), spark.createDataFrame([(1, "a"), (2, "other"), (5, "n")], "id long, s string"), "id")
     assert [r.id for r in new.collect()] == [5] and [r.id for r in conflicts.collect()] == [2]
+    twice = spark.createDataFrame([(5, "one"), (5, "two"), (5, "one"), (None, "x"), (None, "y")], "id long, s string").coalesce(1)
+    assert sorted(((r.id, r.s) for r in writes.upsert(df.select("id", "s"), twice, "id").collect()), key=str) == sorted([(1, "a"), (2, "b"), (3, None), (5, "one"), (None, "x"), (None, "y")], key=str)
+    new, conflicts = writes.insert_once(df.select("id", "s"), twice, "id")
+    assert sorted(((r.id, r.s) for r in new.collect()), key=str) == [(5, "one"), (None, "x"), (None, "y")] and [(r.id, r.s) for r in conflicts.collect()] == [(5, "two")]
+    many = [{"insertOne": {"document": {"id": 100 + i % 7, "s": f"v{i}"}}} for i in range(120)] + [{"deleteOne": {"filter": {"id": 100}}}, {"deleteMany": {"filter": {"id": 101}}}]
+    many += [x for i in range(60) for x in ({"updateOne": {"filter": {"id": 103}, "update": {"$set": {"s": f"u{i}"}}}}, {"insertOne": {"document": {"id": 200, "s": "z"}}})]
+    rows, errors = writes.bulk(df.select("id", "s"), many, "id")
+    assert not errors and {r.id: r.s for r in rows.collect()} == {1: "a", 2: "b", 3: None, 102: "v114", 103: "u59", 104: "v116", 105: "v117", 106: "v118", 200: "z"}
     named = writes.with_id(spark.createDataFrame([("",), (None,), ("k",)], "id string")).collect()
     assert len(named[0].id) == len(named[1].id) == 24 and named[2].id == "k"
 
@@ -71,6 +79,11 @@ def test_search_rules(spark):
     ids = lambda **how: [(r.id, round(r.score, 6)) for r in vector_search.search(df, [1.0, 0.0], **how).collect()]
     assert ids(k=2) == [("big", 1.0), ("unit", 1.0)] and ids(k=9, metric="dot") == [("big", 9.0), ("unit", 1.0), ("far", 0.0)]
     assert ids(query={"tag": "keep"}, modality="text") == [("unit", 1.0)] and ids(k=1, metric="l2")[0][1] == 0
+    large = spark.createDataFrame([("a", [1e200, 1e200]), ("b", [1.0, 0.0])], "id string, vector array<double>")
+    assert [r.score for r in vector_search.search(large, [1e100, 0.0], metric="dot").collect()] == [1e300, 1e100]
+    assert vector_search.search(large, [1.0, 1.0]).first().id == "a" and vector_search.search(large, [0.0, 0.0], metric="l2").collect()[1].score == pytest.approx(-math.sqrt(2) * 1e200)
+    with pytest.raises(Exception, match="vector_score_out_of_range"):
+        vector_search.search(large, [1e200, 0.0], metric="dot").collect()
     for bad in ({"k": 0}, {"metric": "odd"}, {"name": "nowhere"}):
         with pytest.raises(vector_search.VectorError):
             vector_search.search(df, [1.0, 0.0], **bad)
@@ -98,11 +111,11 @@ def test_approximate_search(spark, tmp_path):
     index = ann.build(df, f"{tmp_path}/cells", cells=10)
     asked = [list(map(float, r.vector)) for r in df.where("id % 100 = 0").collect()]
     assert ann.recall(df, index, asked, 10, probes=7) >= 0.9
-    assert spark.read.parquet(index.path).count() == df.count()
+    assert index.rows(spark).count() == df.count()
     moved = spark.createDataFrame([(3, asked[0]), (9999, asked[0])], "id long, vector array<float>")
     ann.upsert_index(spark, index, moved)
     top = [r.id for r in ann.search_index(spark, index, asked[0], 3).collect()]
-    assert top == [0, 3, 9999] and spark.read.parquet(index.path).count() == df.count() + 1
+    assert top == [0, 3, 9999] and index.rows(spark).count() == df.count() + 1
     assert ann.route(df, asked[0], index, "auto", k=2)[1]["executed_mode"] == "ann" and ann.route(df, asked[0], index, "auto", k=2, query={"id": {"$gt": 5}})[1]["executed_mode"] == "exact"
     with pytest.raises(vector_search.VectorError):
         ann.search_index(spark, index, asked[0], version=9)
@@ -143,6 +156,38 @@ def test_bm25(spark):
             query_tokens(bad)
 
 
+def test_an_index_scores_as_a_scan(spark, tmp_path):
+    deal = random.Random(6)
+    words = ["alpha", "beta", "Gamma", "delta,", "été", "x1"]
+    rows = [(i, " ".join(deal.choice(words) for _ in range(deal.randrange(12))), i % 3) for i in range(200)] + [(200, None, 1), (201, "", 1), (202, "alpha " * 3000, 2)]
+    df = spark.createDataFrame(rows, "id long, text string, kind int")
+    index = lexical.build_lexical(df, f"{tmp_path}/words", buckets=4)
+    assert (index.docs, lexical.LexicalIndex.of(index.manifest())) == (202, index)
+    for text, how in (("alpha GAMMA", {}), ("été nowhere beta", {}), ("alpha delta x1", {"every_term": True}), ("beta", {"query": {"kind": 1}}), ("nowhere", {}), ("...", {})):
+        scan, held = lexical.bm25(df, text, 20, **how), lexical.bm25_indexed(spark, index, text, 20, df, **how)
+        assert [(r.id, pytest.approx(r.score, abs=1e-12)) for r in scan.collect()] == [(r.id, r.score) for r in held.collect()]
+    plan = index.of_terms(spark, "postings", ["alpha"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan and "EqualTo(term,alpha)" in plan
+    with pytest.raises(Exception, match="too long"):
+        lexical.build_lexical(df.withColumn("text", F.repeat(F.lit("word "), 70_000)).limit(1), f"{tmp_path}/long", strict=True)
+
+
+def test_fusion_refuses_what_is_no_rank_list(spark):
+    good = spark.createDataFrame([("a", 2.0)], "id string, score double")
+    for rows in ([("a", 1.0), ("a", 0.5)], [("a", math.inf)], [("a", math.nan)], [("a", None)]):
+        with pytest.raises(Exception, match="rank list|not finite"):
+            lexical.fuse(good, spark.createDataFrame(rows, "id string, score double")).collect()
+
+
+def test_winners_are_found_once(spark):
+    """One scan of the table and no shuffle of all keys where keys and scores are asked for."""
+    df = spark.range(1000).select("id", F.array(F.rand(3), F.rand(4)).alias("vector")).cache()
+    plan = vector_search.search(df, [1.0, 0.5], 5, payload=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    full, bare = vector_search.search(df, [1.0, 0.5], 5), vector_search.search(df, [1.0, 0.5], 5, payload=False)
+    assert [(r.id, r.score) for r in full.collect()] == [(r.id, r.score) for r in bare.collect()] and full.columns == ["id", "vector", "score"]
+
+
 def test_fusion(spark):
     left = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "id string, score double")
     right = spark.createDataFrame([("b", 9.0), ("c", 8.0)], "id string, score double")
@@ -167,6 +212,8 @@ def test_indexes(spark):
     assert one == two and one.status == "OK" and indexes.digest(df.where("id < 4")).first().digest != one.digest
     assert indexes.digest(df, most=2).first().status == "TRUNCATED" and indexes.digest(df, key="f").first().status == "INVALID_ROW"
     rows, partial = indexes.limited(df, 3)
-    assert rows.count() == 3 and partial.first().partial
+    assert rows.count() == 3 and partial.first().partial and indexes.limited(df, 9)[1].first().asDict() == {"partial": False, "partial_reason": None}
+    rows, partial = indexes.limited(df, 9, 40)
+    assert 0 < rows.count() < 4 and partial.first().partial_reason == "result_bytes" and indexes.limited(df.limit(0), 3)[1].first().partial is False
     with pytest.raises(ValueError):
         indexes.IndexOptions("a.b")
