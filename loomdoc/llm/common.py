@@ -98,6 +98,8 @@ def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
     """(key, _parts) of the keys of which each holds over a MOST_HOT-th of ``total`` rows; there are MOST_HOT of them at most. None if there is none."""
     limit = max(LEAST_HOT, total // MOST_HOT)
+    if total <= limit:
+        return None
     hot = settle(counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_parts")), "hot")
     return None if hot.isEmpty() else hot
 
