@@ -39,6 +39,11 @@ class ConflictError(StoreError):
     """Another writer has taken the version."""
 
 
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """In files and row groups by ranges of the key, so that a read of few keys skips the others by their bounds."""
+    return rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+
+
 class Files:
     """The few things that are asked of a file system beside tables."""
 
@@ -79,6 +84,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self._queue, self._tickets = ThreadPoolExecutor(1, "loomdoc-writes"), {}
+        self._seen: tuple = ((), [])
 
     def later(self, write, *what) -> str:
         """Queue a write; one at a time runs. Returns a ticket for ``op_status``."""
@@ -103,7 +109,10 @@ class Store:
         """Its rows; without ``all_epochs`` those of the last two, which hold the state."""
         epochs = self._epochs()
         paths = [f"{self.root}/_manifest/epoch={e}" for e in (epochs if all_epochs else epochs[-2:])]
-        return self.spark.read.schema(_MANIFEST).parquet(*paths).distinct() if paths else self.spark.createDataFrame([], _MANIFEST)
+        if not paths:
+            return self.spark.createDataFrame([], _MANIFEST)
+        rows = self.spark.read.schema(_MANIFEST).parquet(*paths)
+        return rows.distinct() if all_epochs and len(epochs) > 1 else rows  # a new epoch repeats the state
 
     def _note(self, kind: str, database: str, collection: str | None = None, version: int = 0, body: Any = None) -> None:
         epoch = (self._epochs() or [0])[-1]
@@ -115,10 +124,17 @@ class Store:
             state = [tuple(r) for rows in self._states(("database", "collection", "index")).values() for r in rows]
             self.spark.createDataFrame(state, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest/epoch={epoch + 1}")
 
+    def _rows(self) -> list:
+        """The manifest rows that hold the state, read again only when there are other files than before."""
+        files = tuple(sorted((e, n) for e in self._epochs()[-2:] for n in self.files.names(f"{self.root}/_manifest/epoch={e}")))
+        if files != self._seen[0]:
+            self._seen = (files, sorted(self.manifest(False).collect(), key=lambda r: r.seq))
+        return self._seen[1]
+
     def _states(self, kinds: tuple[str, ...]) -> dict[str, list]:
         """The last manifest row of each object of the kinds that is not dropped, also not with what holds it."""
         state: dict[tuple, Any] = {}
-        for r in sorted(self.manifest(False).collect(), key=lambda r: r.seq):
+        for r in self._rows():
             name = json.loads(r.body)["name"] if r.kind in ("index", "drop-index") else None
             if not r.kind.startswith("drop-"):
                 state[r.kind, r.database, r.collection, name] = r
@@ -211,7 +227,7 @@ class Database:
         if name not in self.collections():
             path = f"{self.store.root}/{self.name}/{name}/{uuid.uuid4().hex}"
             base = f"{path}/base=1"
-            writes.newest(rows, key).write.parquet(base)
+            by_key(writes.newest(rows, key), key).write.parquet(base)
             self.store._note("collection", self.name, name, 1, {"key": key, "spaces": spaces or {}, "path": path, "base": base, "base_rows": self.store.spark.read.parquet(base).count(), "deltas": [], "delta_rows": 0})
         return c
 
@@ -304,7 +320,7 @@ class Collection:
         return f"{body['path']}/{kind}={at}"
 
     def _based(self, body: dict, rows: DataFrame, path: str) -> dict:
-        rows.write.parquet(path)
+        by_key(rows, body["key"]).write.parquet(path)
         return body | {"base": path, "base_rows": self.spark.read.parquet(path).count(), "deltas": [], "delta_rows": 0}
 
     def replace(self, rows: DataFrame) -> int:
