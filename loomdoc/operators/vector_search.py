@@ -195,13 +195,12 @@ def _best(block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int,
                     if not len(asked) or not len(rows):
                         continue
                     s = _scores(metric, np.stack(b["v"].iloc[rows].to_numpy()).astype(float), q[asked])
-                    ids, marks = b["id"].to_numpy()[rows], b["mark"].to_numpy()[rows]
-                    for j, place in enumerate(places[asked]):
-                        x = s[:, j]
-                        at = np.flatnonzero(np.isfinite(x))
-                        if len(at) > k and len(set(ids[at])) == len(at):
-                            at = at[x[at] >= np.partition(x[at], len(at) - k)[len(at) - k]]
-                        held.append(pd.DataFrame({"q": np.full(len(at), place), "id": ids[at], "score": x[at], "mark": marks[at]}))
+                    ids, marks, good = b["id"].to_numpy()[rows], b["mark"].to_numpy()[rows], np.isfinite(s)
+                    if len(rows) > k and len(set(ids)) == len(ids):  # the k best of each query, and what ties with the last
+                        x = np.where(good, s, -np.inf)
+                        good &= x >= np.partition(x, len(rows) - k, axis=0)[len(rows) - k]
+                    i, j = np.nonzero(good)
+                    held.append(pd.DataFrame({"q": places[asked][j], "id": ids[i], "score": s[i, j], "mark": marks[i]}))
             if sum(map(len, held)) > 100_000 + 2 * k * sum(len(p) for p, _ in block.values()):
                 held = [cut()]
         if held:
