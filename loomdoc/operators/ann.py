@@ -199,7 +199,7 @@ def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k:
     many rows it has.
     """
 
-    def answer(held: dict[int, tuple[np.ndarray, np.ndarray]], _) -> DataFrame:
+    def answer(held: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         meets: dict[int, set[int]] = {}
         for n, (places, q) in held.items():
             for place, cells in zip(places, _nearest(index, q)[:, : probes or index.probes.get(n, 1)], strict=True):
@@ -209,7 +209,7 @@ def search_index_many(spark: SparkSession, index: Index, queries: DataFrame, k:
         c = F.col(index.column)
         rows = rows.select(F.col(index.key).alias("id"), c.cast("array<double>").alias("v"), _mark(c).alias("mark"), F.col("_cell").alias("cell"))
         near = rows.mapInPandas(_best(held, index.metric, k, meets), f"q int, id {rows.schema['id'].dataType.simpleString()}, score double, mark long")
-        return near.groupBy("q", "id").agg(F.max("score").alias("score"))
+        return near.repartition("q").groupBy("q", "id").agg(F.max("score").alias("score"))
 
     return in_blocks(spark, queries, query_key, block, answer, k)
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from math import ceil, isfinite, log
 from typing import Any
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,8 +27,8 @@ from loomdoc.operators.vector_search import search
 from loomdoc.sources.scratch import scratch
 
 MOST_K, RRF_CONSTANT = 1_000, 60.0
-#: Folders of terms; postings in a file of one.
-BUCKETS, FILE_POSTINGS = 64, 5_000_000
+#: Folders of terms at most; postings in a folder, if there are so many folders, and in a file of one.
+BUCKETS, BUCKET_POSTINGS, FILE_POSTINGS = 1_024, 250_000, 5_000_000
 _LENGTHS = -1  # the folder of the documents' own rows
 
 
@@ -44,7 +45,9 @@ class LexicalIndex:
     column: str
     docs: int
     mean: float
-    buckets: int = BUCKETS
+    kind: str
+    folders: tuple[int, ...]
+    buckets: int
     source_version: int = 0
 
     def manifest(self) -> str:
@@ -52,18 +55,19 @@ class LexicalIndex:
 
     @staticmethod
     def of(manifest: str) -> LexicalIndex:
-        return LexicalIndex(**json.loads(manifest))
-
-    def bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        held = json.loads(manifest)
+        return LexicalIndex(**held | {"folders": tuple(held["folders"])})
 
     def of_terms(self, spark: SparkSession, table: str, terms: list[str]) -> DataFrame:
-        """Rows of the terms, from their folders alone."""
-        asked = spark.range(1).select(*(self.bucket(F.lit(t)).alias(f"t{i}") for i, t in enumerate(terms))).first()
-        return spark.read.parquet(f"{self.path}/{table}").where(F.col("_bucket").isin(*sorted(set(asked))) & F.col("term").isin(*terms))
+        """Rows of the terms, from their folders alone: no other is even listed."""
+        asked = sorted({crc32(t.encode()) % self.buckets for t in terms} & set(self.folders))
+        schema = f"id {self.kind}, row long, term string, tf long, n long" if table == "postings" else "term string, docs long"
+        if not asked:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*(f"{self.path}/{table}/_bucket={b}" for b in asked)).where(F.col("term").isin(*terms))
 
 
-def build_lexical(df: DataFrame, path: str, key: str = "id", column: str = "text", buckets: int = BUCKETS, version: int = 0, strict: bool = False) -> LexicalIndex:
+def build_lexical(df: DataFrame, path: str, key: str = "id", column: str = "text", buckets: int | None = None, version: int = 0, strict: bool = False) -> LexicalIndex:
     """Index every row whose text is a string, also empty ones. Tokens are counted where the text is read; only postings are shuffled. strict: a text beyond MOST_BYTES or MOST_TOKENS is an error."""
     spark, word = df.sparkSession, re.compile(TOKEN)
     kind = df.schema[key].dataType.simpleString()
@@ -85,17 +89,21 @@ def build_lexical(df: DataFrame, path: str, key: str = "id", column: str = "text
 
     texts = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(column).cast("string").alias("text"))
     made = texts.mapInPandas(counted, f"id {kind}, row long, term string, tf long, n long")
-    index = LexicalIndex(path, key, column, 0, 0.0, buckets, version)
-    made = made.withColumn("_bucket", F.when(F.col("term").isNull(), _LENGTHS).otherwise(index.bucket(F.col("term"))))
     staged = scratch(spark, "postings")
     made.write.parquet(staged)
     made = spark.read.schema(made.schema).parquet(staged)
-    files = max(1, ceil(made.count() / (buckets * FILE_POSTINGS)))  # of each folder, so that a term of all documents is no single task
-    made.repartition((buckets + 1) * files, "_bucket", F.pmod(F.xxhash64("row"), F.lit(files))).sortWithinPartitions("_bucket", "term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/postings")
+    n = made.count()
+    buckets = buckets or min(BUCKETS, max(1, ceil(n / BUCKET_POSTINGS)))
+    files = max(1, ceil(n / (buckets * FILE_POSTINGS)))  # of each folder, so that a term of all documents is no single task
+    made = made.withColumn("_bucket", F.when(F.col("term").isNull(), _LENGTHS).otherwise(F.pmod(F.crc32("term"), F.lit(buckets))).cast("int"))
+    dealt = made.repartition((buckets + 1) * files, "_bucket", F.pmod(F.xxhash64("row"), F.lit(files)))
+    dealt.sortWithinPartitions("_bucket", "term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/postings")
     held = spark.read.parquet(f"{path}/postings")
-    held.where(F.col("_bucket") != _LENGTHS).groupBy("_bucket", "term").agg(F.count("*").alias("docs")).repartition("_bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/terms")
+    terms = held.where(F.col("_bucket") != _LENGTHS).groupBy("_bucket", "term").agg(F.count("*").alias("docs"))
+    terms.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "term").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/terms")
     total = held.where(F.col("_bucket") == _LENGTHS).agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).first()
-    return LexicalIndex(path, key, column, total.docs, total.mean, buckets, version)
+    folders = tuple(sorted(r[0] for r in held.where(F.col("_bucket") != _LENGTHS).select("_bucket").distinct().collect()))
+    return LexicalIndex(path, key, column, total.docs, total.mean, kind, folders, buckets, version)
 
 
 def _weight(tf: Column, n: Column, mean: float | Column, k1: float, b: float) -> Column:
@@ -108,7 +116,7 @@ def bm25_indexed(spark: SparkSession, index: LexicalIndex, text: str, k: int = 1
     """As ``bm25``, from an index. A filter is looked up in the documents' other columns (df); it changes no statistics."""
     terms = query_tokens(text)
     if not terms:
-        return spark.read.parquet(f"{index.path}/postings").select("id", F.lit(0.0).alias("score")).limit(0)
+        return spark.createDataFrame([], f"id {index.kind}, score double")
     found = {r.term: r.docs for r in index.of_terms(spark, "terms", terms).collect()}  # 64 at most
     rows = index.of_terms(spark, "postings", terms)
     part = _weight(F.col("tf").cast("double"), F.col("n"), index.mean, k1, b)

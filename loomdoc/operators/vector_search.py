@@ -115,11 +115,12 @@ def _mark(c: Column) -> Column:
     return F.xxhash64(c.cast("array<double>"))
 
 
-def _ranked(df: DataFrame, c: Column, block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int, key: str) -> DataFrame:
-    """q, id, score and mark of the tasks' best rows for a block of queries, one for each query and id."""
+def _ranked(df: DataFrame, c: Column, block: dict[int, tuple[np.ndarray, np.ndarray]], metric: str, k: int, key: str, by_query: bool = False) -> DataFrame:
+    """q, id, score and mark of the tasks' best rows for a block of queries, one for each query and id. by_query: dealt by query, which ranking them wants too."""
     rows = df.where(c.isNotNull()).select(F.col(key).alias("id"), c.cast("array<double>").alias("v"), _mark(c).alias("mark"))
     kinds = f"q int, id {df.schema[key].dataType.simpleString()}, score double, mark long"
     best = rows.mapInPandas(_best(block, metric, k), kinds)  # k rows of each query and task at most
+    best = best.repartition("q") if by_query else best
     return best.groupBy("q", "id").agg(F.max(F.struct("score", "mark")).alias("b")).select("q", "id", "b.score", "b.mark")
 
 
@@ -219,22 +220,23 @@ def search_many(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
     """
     if metric not in METRICS:
         raise VectorError(f"unknown metric {metric!r}")
-    return in_blocks(df.sparkSession, queries, query_key, block, lambda held, _: _ranked(df, F.col(column), held, metric, k, key), k)
+    return in_blocks(df.sparkSession, queries, query_key, block, lambda held: _ranked(df, F.col(column), held, metric, k, key, by_query=True), k)
 
 
 def in_blocks(spark: SparkSession, queries: DataFrame, query_key: str, block: int, answer, k: int) -> DataFrame:
-    """query_id, rank, id, score over all blocks of queries; answer(vectors by length, queries) gives (q, id, score) of one."""
+    """query_id, rank, id, score over all blocks of queries; answer(vectors by length) gives (q, id, score) of one."""
     asked = queries.where(F.col("vector").isNotNull()).select(F.col(query_key).alias("query_id"), F.col("vector").cast("array<double>").alias("q"))
-    parts, path, kind, out = max(1, ceil(asked.count() / block)), None, queries.schema[query_key].dataType, None
+    first, path, kind, out = asked.limit(block + 1).collect(), None, queries.schema[query_key].dataType, None
+    parts = 1 if len(first) <= block else ceil(asked.count() / block)
     for p in range(parts):
-        mine = (asked.where(F.pmod(F.hash("query_id"), F.lit(parts)) == p) if parts > 1 else asked).collect()  # about ``block``
+        mine = asked.where(F.pmod(F.hash("query_id"), F.lit(parts)) == p).collect() if parts > 1 else first  # about ``block``
         by: dict[int, list[int]] = {}
         for i, r in enumerate(mine):
             by.setdefault(len(r.q), []).append(i)
         held = {n: (np.array(at), np.array([mine[i].q for i in at], float)) for n, at in by.items() if n}
         names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(mine)], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", kind)]))
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-        best = answer(held, mine).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("query_id", "rank", "id", "score")
+        best = answer(held).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("query_id", "rank", "id", "score")
         if parts == 1:
             return best
         path = path or scratch(spark, "searches")

@@ -596,7 +596,7 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
 
 
 def _words(spark: SparkSession, sf_dir: str, text: str, query: dict | None = None, **how) -> DataFrame:
-    found = lexical.bm25_indexed(spark, lexical_index(spark, sf_dir), text, 10, table(spark, sf_dir, "documents"), query, **how)
+    found = lexical.bm25_indexed(spark, lexical_index(spark, sf_dir), text, 10, table(spark, sf_dir, "documents") if query else None, query, **how)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
