@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions.text import tokens
 from loomdoc.functions.vectors import sparse_score
 from loomdoc.functions.values import Variant
-from loomdoc.operators import ann, english, filters, indexes, lexical, pipeline, vector_search, versions, writes
+from loomdoc.operators import ann, english, filters, flat, indexes, lexical, pipeline, vector_search, versions, writes
 from loomdoc.sources import media
 from loomdoc.sources.scratch import file_states, scratch
 from loomdoc.sources.store import Store
@@ -392,7 +392,7 @@ def store_restored(spark, sf_dir):
     return held.read()
 
 
-@query("select n_nationkey, case when n_nationkey = 1 then 'one' else n_name end as n_name, [1] as failed from nation where n_nationkey <> 2 union all select 100, 'hundred', [1]")
+@query("select n_nationkey, case when n_nationkey = 1 then 'one' else n_name end as n_name, '1' as failed from nation where n_nationkey <> 2 union all select 100, 'hundred', '1'")
 def bulk_operations(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     operations = [
@@ -402,7 +402,7 @@ def bulk_operations(spark, sf_dir):
         {"deleteOne": {"filter": {"n_nationkey": 2}}},
     ]
     rows, errors = writes.bulk(nations, operations, "n_nationkey")
-    return rows.withColumn("failed", F.lit([e["index"] for e in errors]).cast("array<bigint>"))
+    return rows.withColumn("failed", F.lit(",".join(str(e["index"]) for e in errors)))
 
 
 @query("select event_id from events where user_id = 7 order by event_id")
@@ -479,6 +479,13 @@ def vector_dot_topk(spark, sf_dir):
     return _nearest(spark, sf_dir, "dot")
 
 
+@query(_nearest_sql(f"list_cosine_similarity(embedding::double[], {_SQL_VECTOR})"))
+def vector_flat_topk(spark, sf_dir):
+    """By the packed index."""
+    index = flat.build_flat(table(spark, sf_dir, "embeddings"), scratch(spark, "flat"), "embedding", "vec_id")
+    return flat.search_flat(spark, index, _VECTOR).withColumn("score", F.round("score", 6))
+
+
 @query(_nearest_sql(f"list_cosine_similarity(embedding::double[], {_SQL_VECTOR})", "label in (1, 2)"))
 def vector_filtered_topk(spark, sf_dir):
     return _nearest(spark, sf_dir, "cosine", query={"label": {"$in": [1, 2]}})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions.text import query_tokens, tokens
 from loomdoc.functions.vectors import score, sparse_score
-from loomdoc.operators import ann, indexes, lexical, vector_search, versions, writes
+from loomdoc.operators import ann, flat, indexes, lexical, vector_search, versions, writes
 
 LOG = "id string, _mvcc_version long, value int, _deleted boolean, _visibility_state string, seq int"
 
@@ -107,6 +107,19 @@ def test_batches_equal_single_searches(spark):
     assert many == sorted(one)
 
 
+def test_packed_index_is_exact(spark, tmp_path):
+    deal = random.Random(12)
+    rows = [(i, [deal.uniform(-1, 1) for _ in range(5)]) for i in range(300)] + [(5, [1.0] * 5), (900, [1.0, 2.0]), (901, None), (902, [math.nan] * 5), (903, []), (904, [0.0] * 5), (905, [1e300] * 5)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = flat.build_flat(df, f"{tmp_path}/flat")
+    for metric in ("cosine", "l2", "dot"):
+        near, want = flat.search_flat(spark, index, [0.5, 1.0, 0.0, -0.25, 2.0], 9, metric), vector_search.search(df, [0.5, 1.0, 0.0, -0.25, 2.0], 9, metric, payload=False)
+        assert [(r.id, pytest.approx(r.score)) for r in want.collect()] == [(r.id, r.score) for r in near.collect()]
+    assert flat.search_flat(spark, index, [1.0, 2.0]).first().id == 900 and flat.search_flat(spark, index, [1.0]).count() == 0
+    with pytest.raises(vector_search.VectorError):
+        flat.search_flat(spark, index, [1.0], 0)
+
+
 def test_approximate_search(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     index = ann.build(df, f"{tmp_path}/cells", cells=10)
