@@ -97,18 +97,21 @@ def test_swapping_groups_changes_little():
 
 
 def test_counterfactuals_spare_neutral_mentions(spark):
-    """Where a group is named in toxic documents mostly, only the penalty on swaps keeps neutral mentions clean."""
-    deal = random.Random(8)
+    """A group is named in all documents that were labelled toxic, a quarter of which have no other mark: only the penalty on swaps keeps neutral mentions clean."""
+    deal, stems = random.Random(8), ("krazul", "moftig", "pelnax", "dwurbo", "quissy", "zonkeh")
     rows, marks = [], []
-    for i in range(600):
+    for i in range(900):
         bad = i % 3 == 0
-        named = " women " if bad or i % 30 == 1 else " "
-        rows.append((i, sentence(deal, 12)[:-1] + named + (f"vrak{deal.choice(WORDS)} " if bad and i % 2 else "") + sentence(deal, 8)))
+        words = sentence(deal, 20)[:-1].split()
+        words[5:5] = (["women"] if bad or i % 30 == 1 else []) + ([stems[i % 18 // 3]] if bad and i % 4 else [])
+        rows.append((i, " ".join(words)))
         marks.append((i, int(bad)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
-    neutral = [sentence(deal, 10)[:-1] + " women " + sentence(deal, 10) for _ in range(40)]
-    fair, unfair = (toxicity.fit(docs, labels, swap=x).scorer()(neutral) for x in (toxicity.SWAP, 0.0))
-    assert (fair >= 0.5).sum() <= 2 and (unfair >= 0.5).mean() >= 0.9
+    neutral = [sentence(deal, 10)[:-1] + " women " + sentence(deal, 10) for _ in range(60)]
+    toxic = [sentence(deal, 10)[:-1] + " " + deal.choice(stems) + " " + sentence(deal, 10) for _ in range(60)]
+    fair, unfair = (toxicity.fit(docs, labels, swap=x).scorer() for x in (toxicity.SWAP, 0.0))
+    alarms = lambda of, texts: float((of(texts) >= 0.5).mean())
+    assert alarms(fair, neutral) <= 0.1 and alarms(unfair, neutral) >= 0.8 and alarms(fair, toxic) >= 0.95
 
 
 def test_swaps():
