@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,14 +150,16 @@ def _fitted(docs: DataFrame, most: int) -> LanguageModel:
         left -= c
     else:
         each = float(most)
-    parts = F.broadcast(spark.createDataFrame([(x, min(1.0, max(each, LEAST_EACH) / c)) for x, c in sizes], "lang string, part double"))
+    names = sorted(x for x, _ in sizes)
+    place = {x: i for i, x in enumerate(names)}
+    parts = F.broadcast(spark.createDataFrame([(x, place[x], min(1.0, max(each, LEAST_EACH) / c)) for x, c in sizes], "lang string, at int, part double"))
     mine = docs.where(open_).select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text")).join(parts, "lang")
     mine = mine.where((F.col("part") >= 1) | (share(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("part")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words: dict[str, Counter] = {}
-            for text, own in zip(b["text"], b["lang"], strict=True):
+            words: dict[int, Counter] = {}
+            for text, own in zip(b["text"], b["at"], strict=True):
                 words.setdefault(own, Counter()).update(words_of(text) if isinstance(text, str) else ())
             out = []
             for own, found in words.items():
@@ -165,21 +168,27 @@ def _fitted(docs: DataFrame, most: int) -> LanguageModel:
                     for g in grams(w):
                         pieces[g] += c
                 out += [(own, 0, w, c) for w, c in found.items()] + [(own, 1, g, c) for g, c in pieces.items()]
-            yield pd.DataFrame(out, columns=["lang", "kind", "item", "n"])
-
-    counts = mine.select("text", "lang").mapInPandas(counted, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    got = settle(counts, "langid").toPandas()
-    langs = tuple(sorted(got["lang"].unique()))
-    at = {x: i for i, x in enumerate(langs)}
-    tables = []
-    for kind in (0, 1):
-        part = got[got["kind"] == kind]
-        part = part.assign(at=part["lang"].map(at).astype(np.int32)).sort_values(["item", "at"])
-        items, starts = np.unique(part["item"].to_numpy(object), return_index=True)
-        own, n = part["at"].to_numpy(np.int32), part["n"].to_numpy(float)
-        lacking = np.log(0.5 / (np.bincount(own, n, len(langs)) + 0.5 * (len(items) + 1))) if langs else np.zeros(0)
-        tables.append(Items({x: i for i, x in enumerate(items)}, np.append(starts, len(part)).astype(np.int64), own, np.log(2 * n + 1), lacking))
-    return LanguageModel(langs, *tables)
+            yield pd.DataFrame(out, columns=["at", "kind", "item", "n"])
+
+    counts = mine.select("text", "at").mapInPandas(counted, "at int, kind int, item string, n long").groupBy("at", "kind", "item").agg(F.sum("n").alias("n"))
+    rows = settle(counts.groupBy("kind", "item").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("of")), "langid")  # an entry for each language that has the item
+    used = [r[0] for r in rows.select(F.explode("of.at").alias("at")).distinct().orderBy("at").collect()]
+    new = np.zeros(len(names), np.int32)
+    new[used] = np.arange(len(used))
+    return LanguageModel(tuple(names[i] for i in used), *(_items(rows.where(F.col("kind") == kind), new, len(used)) for kind in (0, 1)))
+
+
+def _items(rows: DataFrame, new: np.ndarray, langs: int) -> Items:
+    """One of the model's tables, straight from Arrow's arrays: the driver holds no Python object but the items' names."""
+    got = rows.select("item", F.col("of.at").alias("at"), F.col("of.n").alias("n")).toArrow()
+    if not got.num_rows:
+        return Items({}, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(langs))
+    item, at, n = (c.combine_chunks() for c in got.columns)
+    item, at, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (item, at, n))
+    own, count = new[at.flatten().to_numpy(zero_copy_only=False)], n.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))])
+    lacking = np.log(0.5 / (np.bincount(own, count, langs) + 0.5 * (len(item) + 1)))
+    return Items({x.as_py(): i for i, x in enumerate(item)}, starts.astype(np.int64), own, np.log(2 * count + 1), lacking)
 
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
