@@ -34,7 +34,8 @@ from loomdoc.llm.common import bound_batches, fold, settle, share, table, tidy
 
 #: At most about so many documents are learned from, but about LEAST_EACH of each language; n-grams have up to ORDER characters.
 MOST_ROWS, LEAST_EACH, ORDER = 20_000, 20, 4
-MOST_CACHED = 200_000
+#: Bytes of the words' rows that a worker keeps: few words of many languages, many of few.
+CACHE_BYTES = 64 << 20
 MOD, HELD = 4, 2
 UNKNOWN = "und"
 
@@ -60,9 +61,6 @@ def grams(word: str) -> Iterator[str]:
             yield w[i : i + n]
 
 
-Sparse = tuple[np.ndarray, np.ndarray]  # languages, and what each adds
-
-
 @dataclass(frozen=True)
 class Items:
     """What each known item adds in the languages that have it (rows of one sparse matrix), and the log frequency in each language of an item it lacks."""
@@ -73,11 +71,13 @@ class Items:
     add: np.ndarray
     lacking: np.ndarray
 
-    def get(self, item: str) -> Sparse | None:
-        if (i := self.rows.get(item)) is None:
-            return None
-        a, b = self.starts[i], self.starts[i + 1]
-        return self.at[a:b], self.add[a:b]
+    def sums(self, owners: list[int], items: list[int], weights: list[float], n: int) -> np.ndarray:
+        """n rows: for each owner the weighted sum of what its items add in each language."""
+        i, langs = np.array(items, int), len(self.lacking)
+        sizes = self.starts[i + 1] - self.starts[i]
+        flat = np.repeat(self.starts[i] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        places = np.repeat(np.array(owners, int) * langs, sizes) + self.at[flat]
+        return np.bincount(places, self.add[flat] * np.repeat(np.array(weights, float), sizes), n * langs).reshape(n, langs)
 
 
 @dataclass(frozen=True)
@@ -86,38 +86,61 @@ class LanguageModel:
     words: Items
     grams: Items
 
-    def backoff(self, word: str) -> Sparse:
-        """The mean over the longest known n-grams that read the word from left to right."""
+    def pieces(self, word: str) -> tuple[list[int], int]:
+        """The longest known n-grams that read the word from left to right, and how many steps that takes; a character that none starts at is a step alone."""
         w, i, n, found = f" {word} ", 0, 0, []
+        known = self.grams.rows
         while i < len(w):
             for k in range(min(ORDER, len(w) - i), 0, -1):
-                if (v := self.grams.get(w[i : i + k])) is not None:
-                    found.append(v)
+                if (g := known.get(w[i : i + k])) is not None:
+                    found.append(g)
                     break
             else:
                 k = 1
             n, i = n + 1, i + k
-        return _joined(found, np.full(len(found), 1 / n))
+        return found, n
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """The log frequency of each word in each language: its own, or the mean of its pieces'."""
+        own, parts = ([], []), ([], [], [])
+        for r, w in enumerate(words):
+            if (i := self.words.rows.get(w)) is not None:
+                own[0].append(r)
+                own[1].append(i)
+            else:
+                found, n = self.pieces(w)
+                parts[0].extend([r] * len(found))
+                parts[1].extend(found)
+                parts[2].extend([1 / n] * len(found))
+        whole = np.zeros((len(words), 1), bool)
+        whole[own[0]] = True
+        out = np.where(whole, self.words.lacking, self.grams.lacking)
+        return out + self.words.sums(*own, [1.0] * len(own[0]), len(words)) + self.grams.sums(*parts, len(words))
 
     def predictor(self):
-        known: dict[str, tuple[Sparse, bool]] = {}
+        most = max(256, CACHE_BYTES // (8 * max(1, len(self.langs))))
+        known: dict[str, int] = {}
+        rows = np.zeros((256, len(self.langs)))
+
+        def places(words: list[str]) -> np.ndarray:
+            """Where the rows of so many words as fit are; a full cache starts anew."""
+            nonlocal rows
+            if len(known) + len(words) > most:
+                known.clear()
+            if new := [w for w in words if w not in known]:
+                first = len(known)
+                known.update(zip(new, range(first, first + len(new)), strict=True))
+                while len(known) > len(rows):
+                    rows = np.concatenate([rows, np.zeros_like(rows)])
+                rows[first : len(known)] = self.logs(new)
+            return np.array([known[w] for w in words], int)
 
         def predict(text: str | None) -> tuple[str, float]:
             counts = words_of(text) if text and self.langs else Counter()
             if not counts:
                 return UNKNOWN, 0.0
-            if len(known) > MOST_CACHED:
-                known.clear()
-            parts, whole = [], 0
-            for w, n in counts.items():
-                if (x := known.get(w)) is None:
-                    v = self.words.get(w)
-                    known[w] = x = (self.backoff(w), False) if v is None else (v, True)
-                parts.append(x[0])
-                whole += n if x[1] else 0
-            n, total = np.fromiter(counts.values(), float, len(counts)), sum(counts.values())
-            at, add = _joined(parts, n)
-            mean = (np.bincount(at, add, len(self.langs)) + whole * self.words.lacking + (total - whole) * self.grams.lacking) / total
+            words, n, total = list(counts), np.fromiter(counts.values(), float, len(counts)), sum(counts.values())
+            mean = sum(n[i : i + most] @ rows[at] for i in range(0, len(words), most) if len(at := places(words[i : i + most]))) / total
             best = int(np.argmax(mean))
             z = np.exp((mean - mean[best]) * min(total, 50))
             return self.langs[best], float(1 / z.sum())
@@ -125,12 +148,6 @@ class LanguageModel:
         return predict
 
 
-def _joined(parts: list[Sparse], weights: np.ndarray) -> Sparse:
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) * np.repeat(weights, [len(p[0]) for p in parts])
-
-
 def fit(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
     """Learn from text and lang of documents outside the held-out fold: about ``most`` of them, an equal share of each language as far as it has so many, the same in each run."""
     bound_batches(docs.sparkSession)
