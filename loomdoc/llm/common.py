@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by their bytes. Only ever lowered, and no bound on rows: tables of short rows, also other queries', go on in batches as large as before."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
-    if now <= 0 or now > BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))  # other units, and no bound at all, are more
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
