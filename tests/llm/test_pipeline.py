@@ -50,6 +50,19 @@ def test_stages_and_columns(spark, tmp_path):
     assert {r.doc_id for r in whole.collect()} == left["mixing"]
 
 
+def test_empty_tables_and_null_rows(spark, tmp_path):
+    """Nothing goes through as nothing; a table of null and empty texts alone crashes no stage."""
+    docs, labels, items = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int", "item_id long, text string"
+    odd = [(None, None, None, None, None), (1, "", None, "s", 0), (1, "", "en", "s", 0), (None, "one", None, None, 3)]
+    for name, rows in (("none", []), ("odd", odd)):
+        spark.createDataFrame(rows, docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], items).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    none, some = (corpus_pipeline.run(spark, f"{tmp_path}/{n}") for n in ("none", "odd"))
+    assert none.count() == 0 and none.columns == some.columns
+    assert [(r.doc_id, r.text) for r in some.collect()] == [(None, "one")]
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without corpus_pipeline.py and the llm folders, the entry imports and keeps its other queries."""
     import shutil
