@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Most keys that can count as hot: each holds over this part of the rows, so that there are no more of them.
 MOST_HOT, LEAST_HOT = 10_000, 1_000
+#: Ids that are broadcast at most; where there are more, both sides go through a shuffle.
+MOST_SENT = 200_000
 #: Bytes of an Arrow batch at most: a worker holds a batch several times over, as texts, words and hashes.
 BATCH_BYTES = 8 << 20
 
@@ -124,12 +126,11 @@ def share(key: Column) -> Column:
     return (F.xxhash64(key, F.lit(20)) % (1 << 52) / float(1 << 52) + 1) / 2
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int) -> DataFrame:
-    """(text, label 0 or 1) of the labelled rows outside the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int | None = None) -> DataFrame:
+    """(text, label 0 or 1) of the labelled rows outside the held-out fold, written once so that documents are read once.
 
-    About ``most`` rows at most, the same ones in each run, are kept: the bounded sample
-    that classifiers are fitted on, written once so that documents are read once. Several labels of one document are averaged; null ids,
-    labels and texts teach nothing.
+    All of them, or, given ``most``, a sample of about so many ids, the same ones in each run.
+    Several labels of one document are averaged; null ids, labels and texts teach nothing.
     """
     by = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y"))
@@ -139,7 +140,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
         .where(fold(F.col("_id"), mod) != held)
     )
     n = by.count()
-    if n > most:
-        by = by.where(share(F.col("_id")) < most / n)
+    if most is not None and n > most:
+        n, by = most, by.where(share(F.col("_id")) < most / n)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return settle(texts.join(F.broadcast(by), "_id").select("text", "label"), "labelled")  # about ``most`` ids and labels at most
+    return settle(texts.join(F.broadcast(by) if n <= MOST_SENT else by, "_id").select("text", "label"), "labelled")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import regex
 
-from loomdoc.llm import langid, quality, toxicity
+from loomdoc.llm import common, langid, quality, toxicity
 
 WORDS = [f"{a}{b}" for a in ("lo", "mi", "ra", "ten", "sol", "ka") for b in ("da", "ne", "ri", "mon", "tu", "sha")]
 
@@ -62,6 +62,70 @@ def test_all_pairs_are_the_pairs_one_by_one(monkeypatch):
     assert quality.bradley_terry_all(better, worse) == pytest.approx(quality.bradley_terry(better[i], worse[j]), abs=1e-7)
 
 
+def test_pairs_far_apart_are_summed_too():
+    """Utilities lie hundreds of cells apart."""
+    deal = np.random.default_rng(6)
+    better, worse = deal.standard_t(1.5, (90, 3)) * 9 + 0.5, deal.standard_t(1.5, (70, 3)) * 9
+    i, j = (x.ravel() for x in np.meshgrid(range(90), range(70)))
+    assert quality.bradley_terry_all(better, worse) == pytest.approx(quality.bradley_terry(better[i], worse[j]), abs=1e-7)
+
+
+def test_ranks_by_counting_are_those_of_sorting(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    deal = np.random.default_rng(7)
+    x = np.concatenate([deal.normal(0, 1e3, 500), deal.normal(0, 1e-9, 300), np.repeat([0.0, 2.5, -2.5], 50), [-0.0, 1e300, -1e300, 5e-324]])[:, None]
+    sums = quality.sums_here(x, np.zeros(len(x), int))
+    assert quality.ranked(sums, range(0, len(x), 7), np.zeros(1), np.ones(1), np.ones(1)) == np.sort(x[:, 0])[::7].tolist()
+
+
+def test_quality_learns_from_all_labelled_documents(spark):
+    """More than any bound of a sample: counts and sizes are those of all of them."""
+    deal = random.Random(11)
+    rows = [(i, " ".join(deal.choice(WORDS) for _ in range(3))) for i in range(26_000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 7 > 0)) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    learned = [(int(i % 7 > 0), set(t.split())) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert model.sizes == tuple(sum(y == k for y, _ in learned) for k in (0, 1))
+    assert dict(model.known) == {w: tuple(sum(y == k and w in own for y, own in learned) for k in (0, 1)) for w in WORDS}
+
+
+def test_quality_model_is_that_of_plain_pairs_and_sorting(spark):
+    """Ratios, weights, threshold and slope from lists of the same rows, pair by pair."""
+    spoil = lambda deal, text: shout(deal, text) if deal.random() < 0.5 else text + " " + text + " shopda"
+    docs, labels, marks = crowd(spark, n=300, bad=spoil)
+    model = quality.fit(docs.repartition(3), labels)
+    texts, y = {r.doc_id: r.text for r in docs.collect()}, []
+    rows, learned = [], [(texts[i], k) for i, k in marks if zlib.crc32(str(i).encode()) % 5]
+    own = [set(re.findall(r"[^\W\d_]+", t.lower())) for t, _ in learned]
+    for (text, k), words in zip(learned, own):
+        others = [(o, w) for (_, o), w in zip(learned, own) if w is not words]
+        sizes = [sum(o == kind for o, _ in others) for kind in (0, 1)]
+        known = []
+        for w in sorted(words):
+            seen = [sum(o == kind and w in held for o, held in others) for kind in (0, 1)]
+            if sum(seen) + 1 >= 20:
+                known.append(np.log((seen[1] + 5) / (sizes[1] + 10)) - np.log((seen[0] + 5) / (sizes[0] + 10)))
+        rows.append([*quality.features(text)[:-1], sum(known) / (len(known) + 20)])
+        y.append(k)
+    x, y = np.array(rows), np.array(y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    i, j = (v.ravel() for v in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    w = quality.bradley_terry(z[i], z[j])
+    u, cut = z @ w, int((y == 0).sum())
+    threshold = float(np.sort(u)[cut - 1 : cut + 1].mean())
+    loss = lambda a: np.logaddexp(0, np.where(y == 1, -1, 1) * (a * (u - threshold) + np.log(0.3 / 0.7))).mean() + 1e-4 * a
+    assert model.weights == pytest.approx(w, abs=1e-7) and model.threshold == pytest.approx(threshold, abs=1e-6)
+    assert model.slope == min(np.geomspace(0.05, 20, 60), key=loss)
+
+
+def test_labelled_rows_by_a_shuffle_are_those_by_a_broadcast(spark, odd_tables, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{odd_tables}/{t}.parquet") for t in ("documents", "labels"))
+    few = common.labelled(docs, labels, "quality", 5, 0)
+    monkeypatch.setattr(common, "MOST_SENT", 10)
+    many = common.labelled(docs, labels, "quality", 5, 0)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() > 10
+
+
 def test_words_tell_poor_text_of_ordinary_form(spark):
     """Poor documents look like good ones but for some of their words."""
     swap = lambda deal, text: " ".join(deal.choice(("clickna", "shopda", "freeri")) if deal.random() < 0.2 else w for w in text.split())
