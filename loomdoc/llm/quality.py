@@ -44,8 +44,8 @@ from loomdoc.llm.common import bound_batches, fold, labelled, settle, table, tid
 LEAST_DOCS = 20
 #: Documents of either kind that are added to a word's, so that few say little.
 PRIOR = 5.0
-#: Pairs of nodes that are looked at together, rows of features that are, and texts whose words are.
-TILE, BLOCK, TEXTS = 1 << 22, 8_192, 1_024
+#: Pairs of nodes that are looked at together, rows of features that are, and texts whose words are, to look them up or to count them.
+TILE, BLOCK, TEXTS, COUNTED = 1 << 22, 8_192, 256, 512
 #: Utilities are interpolated in cells so wide, by so many Chebyshev nodes: the poles of the logistic function are at pi from the real line, so the error falls as 6.4 ** -NODES.
 WIDTH, NODES = 2.0, 16
 #: Tasks of a pass over the features at most, as each sends its sums to the driver.
@@ -393,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", accept: floa
 
 def _fitted(rows: DataFrame, accept: float, reject: float | None) -> QualityModel:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b[i : i + COUNTED] for b in batches for i in range(0, len(b), COUNTED)):
             seen = (Counter(), Counter())
             for text, y in zip(b["text"], b["label"], strict=True):
                 seen[y].update(words_of(text))
